@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import exact_dedup, mixing, sharding
+from cloudloom.llm import exact_dedup, mixing, sharding, sketch_join
 from cloudloom.llm._common import Workspace
 
 
@@ -20,6 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(Workspace(spark), documents(spark, sf_dir)).drop("text_group")
 
 
+def op3_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_join.similar(Workspace(spark), documents(spark, sf_dir)).drop("rid", "root")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
@@ -30,6 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_sketch_join": op3_sketch_join,
     "op7_mixing": op7_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
