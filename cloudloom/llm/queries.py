@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import exact_dedup, mixing, sharding, sketch_join
+from cloudloom.llm import exact_dedup, mixing, quality, sharding, sketch_join, toxicity
 from cloudloom.llm._common import Workspace
 
 
@@ -20,10 +20,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(Workspace(spark), documents(spark, sf_dir)).drop("text_group")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark)
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.similar(Workspace(spark), documents(spark, sf_dir)).drop("rid", "root")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(Workspace(spark), documents(spark, sf_dir)).drop("rid")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
@@ -34,7 +43,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_sketch_join": op3_sketch_join,
+    "op4_quality": op4_quality,
     "op7_mixing": op7_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
