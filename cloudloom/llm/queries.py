@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import exact_dedup, mixing, quality, sharding, sketch_join, toxicity
+from cloudloom.llm import exact_dedup, html_text, mixing, quality, sharding, sketch_join, toxicity, warc
 from cloudloom.llm._common import Workspace
 
 
@@ -33,6 +33,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(Workspace(spark), documents(spark, sf_dir)).drop("rid")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(Workspace(spark), pages(spark, sf_dir)).drop("rid")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark)
+    return warc.read(warc.write(ws, pages(spark, sf_dir), f"{ws.path}/warc")).drop("html")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
@@ -46,12 +55,21 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sketch_join": op3_sketch_join,
     "op4_quality": op4_quality,
+    "op5_html_text": op5_html_text,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
     "op7_mixing": mixing.ORACLE,
+    "op6_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, sha256(coalesce(html, '')) as g from pages),
+        k as (select *, max(page_id) over (partition by g) as keep from p)
+        select page_id, cast(n as bigint) as payload_bytes, h as payload_digest,
+               case when n >= 1000 and page_id <> keep then 'revisit' else 'response' end as record_type,
+               case when n >= 1000 and page_id <> keep then keep end as refers_to
+        from k""",
     "op10_exact_dedup": """
         with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
         select doc_id, max(doc_id) over w as keep_id, cast(count(*) over w as bigint) as group_size,
