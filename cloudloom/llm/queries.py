@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import exact_dedup, html_text, mixing, quality, sharding, sketch_join, toxicity, warc
+from cloudloom.llm import exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, warc, wavelet
 from cloudloom.llm._common import Workspace
 
 
@@ -46,6 +46,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(Workspace(spark), documents(spark, sf_dir))
+
+
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark)
+    return wavelet.read(wavelet.write(ws, documents(spark, sf_dir), f"{ws.path}/shards"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(Workspace(spark), documents(spark, sf_dir)).drop("rid")
 
@@ -58,6 +67,8 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op9_wavelet": op9_wavelet,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
