@@ -19,11 +19,11 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     while True:
         both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).union(star.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ws.table(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         done = ws.table(small)
-        ws.drop(star, large)
+        ws.drop(star)
         star = done
         now = tuple(done.agg(F.count(F.lit(1)), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0)")).first())
         if now == seen:

@@ -8,7 +8,7 @@ and copies are dealt over all partitions and ordered by another MD5.
 Defined cases: a null source is a source of its own; a null doc_id hashes as the empty string; a null text has no
 bytes; a source without bytes is never repeated (rate 0), as nothing of it can reach a share of bytes; repeated rows are
 replicated each by itself, alike; an empty table gives an empty result; columns besides ``doc_id, source, text`` pass
-through, and none may begin with ``_mix``.
+through, but for ``copy, n_copies, shuffle_key`` and names that begin with ``_mix``.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ def with_steps(rate: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, alpha: float = 0.7, epochs: float = 1.0, seed: int = 7, weights: dict[str, float] | None = None) -> DataFrame:
     """The mixture: ``docs``' columns, ``copy`` (from 0), ``n_copies``, ``shuffle_key``; no copy for a count of 0."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("_mix")])
     steps = maybe_broadcast(with_steps(rates(docs.select("source", "text"), alpha, epochs, weights)), 10_000)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

@@ -208,11 +208,12 @@ def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85) -
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     classes = ws.table(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("c"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in sketch)))
 
-    # Keys that two different sets share. One exchange serves the counting and the members.
+    # Keys that two different sets share: one exchange and sort; of the rows of a key, a set's first or last one has another set beside it.
     keys = texts.select("text").mapInArrow(candidate_keys(width, percent), "d1 long, keys array<long>").select("d1", F.explode("keys").alias("key"))
-    keys = keys.repartition("key")
-    shared = keys.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("key")
-    members = ws.table(keys.join(shared.hint("shuffle_hash"), "key").distinct().join(classes.select("d1", "c"), "d1").select("key", "c"))
+    beside = "{}(d1) over (partition by key order by d1)"
+    near = keys.select("key", "d1", F.expr(beside.format("lag")).alias("lo"), F.expr(beside.format("lead")).alias("hi"))
+    shared = near.where("lo <> d1 or hi <> d1").select("key", "d1").distinct()
+    members = ws.table(shared.join(classes.select("d1", "c"), "d1").select("key", "c"))
     edges = links(ws, texts, members, classes, width, percent)
     roots = components(ws, edges)
 
