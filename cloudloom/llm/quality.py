@@ -15,8 +15,6 @@ columns besides ``doc_id, text, lang`` are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,12 +66,12 @@ def repeated_lines(text: str) -> int:
     return n
 
 
-def class_counts(texts: pa.Array) -> np.ndarray:
-    """Characters of each class but white space; a row for each text."""
-    count = lambda pattern: pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
+def class_counts(words: pa.Array) -> np.ndarray:
+    """Characters of each class; a row for each word."""
+    count = lambda pattern: pc.count_substring_regex(words, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
     parts = [count(p) for p in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]")]
-    every = count(r"[^\x20\x09-\x0D]")
-    return np.stack([*parts, np.maximum(every - sum(parts), 0)], axis=1)
+    every = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.stack([*parts, every - sum(parts), every], axis=1)
 
 
 def describe(batches):
@@ -83,14 +81,14 @@ def describe(batches):
         offsets, words = T.split_words(texts)
         codes, vocabulary = T.coded(words)
         h = T.hashes(vocabulary)[codes] if len(words) else np.empty(0, np.uint64)
-        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        counts = class_counts(texts)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        per_word = class_counts(vocabulary)
+        counts = np.stack([np.bincount(doc, per_word[codes, i], batch.num_rows).astype(np.int64) for i in range(len(CLASSES) + 1)], axis=1)
         # a line is equal to an earlier one only if its words are; most texts have one line or none such
         lines = [repeated_lines(t) if "\n" in t else 0 for t in texts.to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("rid"), batch.column("doc_id"), batch.column("lang"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(counts[:, CLASSES.index("symbol")]),
+                batch.column("rid"), batch.column("doc_id"), batch.column("lang"), pa.array(np.diff(offsets)), pa.array(counts[:, -1]), pa.array(counts[:, CLASSES.index("symbol")]),
                 pa.array(lines, pa.int64()), pa.array(repeated_words(offsets, h)), *(pa.array(counts[:, i]) for i in range(len(CLASSES))),
             ],
             ["rid", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *CLASSES],
@@ -98,12 +96,12 @@ def describe(batches):
 
 
 BASE = "rid long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+MARKS = ".,;:!?'\"()-" + SYMBOLS
 
 
-def plain(words: pa.Array) -> list[str]:
+def plain(words: pa.Array) -> pa.Array:
     """Lower-cased words without the marks around them."""
-    return [EDGE.sub("", w) for w in pc.utf8_lower(words).to_pylist()]
+    return pc.utf8_trim(pc.utf8_lower(words), characters=MARKS)
 
 
 def text_frequencies(batches):
@@ -113,16 +111,16 @@ def text_frequencies(batches):
         if not len(words):
             continue
         codes, vocabulary = T.coded(words)
-        names, again = np.unique(np.array(plain(vocabulary), object).astype(str), return_inverse=True)
+        again, names = T.coded(plain(vocabulary))
         codes = again[codes]
         doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         pairs = np.unique(doc * len(names) + codes)
         langs, lang_codes = np.unique(np.array([x if x is not None else "\0" for x in batch.column("lang").to_pylist()], object).astype(str), return_inverse=True)
         both, n = np.unique(lang_codes[pairs // len(names)] * len(names) + pairs % len(names), return_counts=True)
-        keep = names[both % len(names)] != ""
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None if x == "\0" else x for x in langs[both // len(names)][keep]], pa.string()), pa.array(names[both % len(names)][keep].tolist(), pa.string()), pa.array(n[keep])], ["lang", "word", "texts"]
-        )
+        word = names.take(pa.array(both % len(names)))
+        langs_of = pa.array([None if x == "\0" else x for x in langs[both // len(names)]], pa.string())
+        out = pa.RecordBatch.from_arrays([langs_of, word.cast(pa.string()), pa.array(n)], ["lang", "word", "texts"])
+        yield out.filter(pc.not_equal(word, ""))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -162,6 +160,7 @@ def word_divergence(references: dict[str | None, dict[str, int]]):
         for table in references.values():
             for w in table:
                 index.setdefault(w, len(index))
+        known = pa.array(list(index), pa.large_string())
         langs = {lang: i for i, lang in enumerate(references)}
         weights = np.zeros((len(references) + 1, len(index)))
         for lang, table in references.items():
@@ -171,7 +170,7 @@ def word_divergence(references: dict[str | None, dict[str, int]]):
             n = batch.num_rows
             offsets, words = T.split_words(T.texts_of(batch))
             codes, vocabulary = T.coded(words)
-            at = np.array([index.get(w, -1) for w in plain(vocabulary)], np.int64)[codes] if len(words) else np.empty(0, np.int64)
+            at = pc.fill_null(pc.index_in(plain(vocabulary), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(words) else np.empty(0, np.int64)
             doc = np.repeat(np.arange(n), np.diff(offsets))
             own = np.bincount(doc[at >= 0] * max(1, len(index)) + at[at >= 0], minlength=n * max(1, len(index))).reshape(n, -1)[:, : len(index)].astype(float) if index else np.zeros((n, 0))
             which = np.array([langs.get(x, len(references)) for x in batch.column("lang").to_pylist()], np.int64)
