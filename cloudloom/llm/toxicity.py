@@ -4,7 +4,8 @@
   others (counts over all training rows, a smoothed ratio). Tokens of toxic texts with a marker have label 1.
 * The field: two labels, weights for each marker, for markers in the token before and after, for the token's shape, and for
   label pairs; trained by gradient ascent (Adam) on the penalised likelihood of a bounded sample: at most ``max_rows`` texts of
-  each label, in the order of a hash, and of each at most ``max_sentences`` sentences with markers and as many without.
+  each label, in the order of a hash, of each its first ``max_chars`` characters, and of them at most ``max_sentences`` sentences
+  with markers and as many without.
 * Scores: forward-backward marginals of every token of every whole text, sentence by sentence (long ones in runs of
   ``LONGEST`` tokens). Largest marginal, their sum and their share make the text's score by a logistic model, fitted on the texts
   of the sample; runs of tokens with a marginal of half or more are the spans, as character offsets.
@@ -343,7 +344,7 @@ def scorer(model: Field):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = 600, max_chars: int = 6000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, toxic_tokens, spans."""
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")).where(~held_out())
     texts = docs.select("doc_id", "text")
@@ -354,7 +355,7 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> DataFrame
     rows: list[tuple[str, int]] = []
     if marks:
         for y in (0, 1):
-            picked = train.where(F.col("toxic") == y).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 20_000).alias("text")).orderBy("h").limit(max_rows)
+            picked = train.where(F.col("toxic") == y).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, max_chars).alias("text")).orderBy("h").limit(max_rows)
             rows += [(r["text"], y) for r in picked.collect()]
     model = train_field(rows, marks)
     return texts.withColumn("held_out", held_out()).mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int, toxic_tokens long, spans array<struct<start:int,end:int>>")
