@@ -35,7 +35,7 @@ from cloudloom.llm.warc import open_in, open_out
 MAGIC = b"WVLTMX01"
 BLOCK = 1 << 16
 END_ID = 2
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 SHARDS = "part int, number int, file string, documents long, ids long"
 
 
@@ -52,9 +52,9 @@ def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
         bit = (x >> x.dtype.type(b)).astype(np.uint8) & 1
         one = bit.view(bool)
         planes.append(packed(one))
-        low = x[~one]
+        low = x.compress(~one)
         zeros.append(len(low))
-        x = np.concatenate([low, x[one]])
+        x = np.concatenate([low, x.compress(one)])
     return planes, zeros
 
 
@@ -66,8 +66,8 @@ def decoded(planes: list[np.ndarray], zeros: list[int], n: int) -> np.ndarray:
         one = np.unpackbits(planes[level], count=n, bitorder="little").view(bool)
         y = np.empty_like(x)
         z = zeros[level]
-        y[~one] = x[:z]
-        y[one] = x[z:] | x.dtype.type(1 << (width - 1 - level))
+        y[np.flatnonzero(~one)] = x[:z]
+        y[np.flatnonzero(one)] = x[z:] | x.dtype.type(1 << (width - 1 - level))
         x = y
     return x
 
