@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,20 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 8 << 20
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 U = np.uint64
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: two workers share an executor's allowance with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in runs of at most ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
@@ -23,6 +35,8 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        if batch.nbytes > 1 << 20:
+            trim()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

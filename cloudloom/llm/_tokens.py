@@ -8,13 +8,16 @@ a batch, and frequent ones once for a worker. Texts with other runs of white spa
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHED = 400_000  # words
+CACHED = 300_000  # words
+SPECIAL = "<|"
+SEEN = 1 << 22  # places of the table of words that were met once
 ODD_SPACES = r"[\s\v\x{85}\p{Z}] (?:[\s\v\x{85}\p{Z}]|$)"
 
 
@@ -31,22 +34,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = by_words
+        self.stop_id, added = min(self.tokenizer.get_added_tokens_decoder().items())
+        self.stop = added.content
         self.known: dict[str, int] = {}
+        self.seen = np.zeros(SEEN, bool)
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(CACHED + 1, np.int64)
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids of texts, each encoded whole."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return lengths, np.fromiter((x for f in found for x in f), np.uint32, int(lengths.sum()))
+        """Lengths and ids of texts, each encoded by itself.
+
+        Texts go to the library a hundred at a time, with its special token, which no merge crosses, after each; a text that
+        may hold the token's string goes alone.
+        """
+        if not texts:
+            return np.empty(0, np.int64), np.empty(0, np.uint32)
+        if any(SPECIAL in t for t in texts):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        joined = [self.stop.join(texts[i : i + 100]) + self.stop for i in range(0, len(texts), 100)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        stops = np.flatnonzero(ids == self.stop_id)
+        return np.diff(stops, prepend=-1) - 1, ids[ids != self.stop_id]
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and each word's begin and end in it."""
-        get = self.known.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
-        lengths, ids = self.encoded([words[i] for i in new])
+        missed = [words[i] for i in new]
+        lengths, ids = self.encoded(missed)
         base = int(self.ends[len(self.known)])
         begin, end = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         ends = np.cumsum(lengths)
@@ -54,15 +72,18 @@ class Encoder:
         begin[old], end[old] = self.ends[at[old]], self.ends[at[old] + 1]
         begin[new], end[new] = base + ends - lengths, base + ends
         pool = np.concatenate([self.ids[:base], ids])
-        take = min(CACHED - len(self.known), len(new))
-        if take > 0:
-            n = len(self.known)
-            used = int(ends[take - 1])
-            while base + used > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[base : base + used] = ids[:used]
-            self.ends[n + 1 : n + 1 + take] = base + ends[:take]
-            self.known.update((words[i], n + k) for k, i in enumerate(new[:take]))
+        n = len(self.known)
+        if n < CACHED and len(new):  # a word is kept when it is met a second time
+            place = np.fromiter(map(hash, missed), np.int64, len(missed)) & (SEEN - 1)
+            again = np.flatnonzero(self.seen[place])[: CACHED - n]
+            self.seen[place] = True
+            if len(again):
+                keep = gathered(ids, (ends - lengths)[again], lengths[again])
+                while base + len(keep) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+                self.ids[base : base + len(keep)] = keep
+                self.ends[n + 1 : n + 1 + len(again)] = base + np.cumsum(lengths[again])
+                self.known.update(zip((missed[i] for i in again.tolist()), range(n, n + len(again)), strict=True))
         return pool, begin, end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
