@@ -12,9 +12,10 @@ similarity s is at most d = a + b - 2 ceil(s (a + b) / (1 + s)) for sizes a and
   such words if both have more than ``spare``; a document with so many gives its words under the next hash function too, and so
   on. (After 32 functions, it gives one common key.)
 * Candidates: of the documents with equal words, each is paired with the smallest one (a star); linked ones become a
-  component. Then, in the groups that still hold several components, only documents of different components are paired, if
-  sizes and bit sketches allow a link, the closest first: 1, 4, 16, ... partners for each document and component until no
-  untested pair is left. So no link between components is lost, and no group is expanded into all its pairs.
+  component. Then, in the groups that still hold several components, documents of different components are compared by size
+  and bit sketch, block by block inside a task, and only those that may be linked come out: first each one's closest partner,
+  after these are verified and joined its sixteen closest, at last all. So no link between components is lost, and no group
+  is expanded into all its pairs.
 * Candidates are verified on the whole sets.
 
 Documents with equal sets are one class from the start. Defined cases: a null or empty text, or one without words, has
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import _text as T
-from cloudloom.llm._common import Workspace, is_small, maybe_broadcast, row_id
+from cloudloom.llm._common import Workspace, maybe_broadcast, row_id
 from cloudloom.llm._graph import components
 
 U = np.uint64
@@ -214,8 +215,7 @@ def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85) -
     near = keys.select("key", "d1", F.expr(beside.format("lag")).alias("lo"), F.expr(beside.format("lead")).alias("hi"))
     shared = near.where("lo <> d1 or hi <> d1").select("key", "d1").distinct()
     members = ws.table(shared.join(classes.select("d1", "c"), "d1").select("key", "c"))
-    edges = links(ws, texts, members, classes, width, percent)
-    roots = components(ws, edges)
+    roots = linked_roots(ws, texts, members, classes, width, percent)
 
     roots = rows.where("n > 0").select("rid", "doc_id", "d1", "d2").join(classes.select("d1", "d2", "c"), ["d1", "d2"]).join(roots, F.col("c") == F.col("v"), "left").select("rid", "doc_id", F.coalesce("root", "c").alias("root"))
     roots = ws.table(roots)
@@ -226,8 +226,75 @@ def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85) -
     )
 
 
-def links(ws: Workspace, texts: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes, enough of them to connect each component."""
+BLOCK = 4096  # documents of a group that one task compares with each other, or with another block
+
+
+def close_pairs(percent: int, partners: int | None):
+    """Rows of groups in order (key, bi, bj, block, c, root, n, s0..s7) → pairs (a, b) that may be linked, of different components."""
+    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+    def pairs(g: dict[str, np.ndarray]) -> list[np.ndarray]:
+        c, root, n, block, s = g["c"], g["root"], g["n"], g["block"], g["s"]
+        m, out = len(c), []
+        inside = g["bi"][0] == g["bj"][0]
+        free = c != g["lead"]  # the pairs with the leader are tested
+        for i in range(0, m, 256):
+            e = slice(i, min(m, i + 256))
+            h = np.bitwise_count(s[e, None] ^ s[None]).sum(2, dtype=np.int64)
+            total = n[e, None] + n[None]
+            small = 100 * np.minimum(n[e, None], n[None]) >= percent * np.maximum(n[e, None], n[None])
+            ok = (h <= total - 2 * -(-percent * total // (100 + percent))) & small & (root[e, None] != root[None]) & free[e, None] & free[None]
+            if not inside:
+                ok &= block[e, None] != block[None]
+            if partners is None:
+                x, y = np.nonzero(ok & (c[e, None] > c[None]))
+            else:
+                k = min(partners, m - 1)
+                far = np.where(ok, h, 1 << 40)
+                y = np.argpartition(far, k, axis=1)[:, :k] if k < m - 1 else np.argsort(far, axis=1)[:, :k]
+                x = np.repeat(np.arange(len(y)), k)
+                y = y.ravel()
+                keep = ok[x, y]
+                x, y = x[keep], y[keep]
+            x = c[e][x]
+            y = c[y]
+            out.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+        return out
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        got = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "bi", "bj", "block", "c", "root", "n", "lead")}
+        return got | {"s": np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in sketch], 1)}
+
+    def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+
+        def flush(last: dict[str, np.ndarray] | None):
+            parts = [*held, *([last] if last is not None else [])]
+            g = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+            held.clear()
+            return pairs(g | {"lead": g["lead"][0]}) if len(g["c"]) > 2 or g["bi"][0] != g["bj"][0] else []
+
+        for batch in batches:
+            t, found = columns(batch), []
+            same = (t["key"][1:] == t["key"][:-1]) & (t["bi"][1:] == t["bi"][:-1]) & (t["bj"][1:] == t["bj"][:-1])
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = {k: v[a:b] for k, v in t.items()}
+                if held and (held[0]["key"][0], held[0]["bi"][0], held[0]["bj"][0]) != (part["key"][0], part["bi"][0], part["bj"][0]):
+                    found += flush(None)
+                held.append(part)
+            if found:
+                found = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        if held:
+            for p in flush(None):
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+    return run
+
+
+def linked_roots(ws: Workspace, texts: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(v, root) of the classes whose component has a smaller one; each link that joins two components is verified."""
     wanted = ws.table(members.select(F.col("c").alias("rid")).distinct())
     chosen = texts.select("rid", "text").join(maybe_broadcast(wanted), "rid", "left_semi")
     sets = ws.table(chosen.mapInArrow(whole_sets(width), "rid long, hashes binary"))
@@ -238,29 +305,27 @@ def links(ws: Workspace, texts: DataFrame, members: DataFrame, classes: DataFram
         both = first.join(sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x")), "a")
         return ws.table(both.select("a", "b", "x", "y").mapInArrow(verified(percent), "a long, b long, linked boolean"))
 
-    lead = members.groupBy("key").agg(F.min("c").alias("b"))
-    stars = members.join(lead, "key").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
+    lead = ws.table(members.groupBy("key").agg(F.min("c").alias("lead"), F.count(F.lit(1)).alias("m")))
+    stars = members.join(lead, "key").where("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
     described = classes.select("c", "n", *(f"s{i}" for i in range(SKETCH_WORDS)))
     stars = stars.join(described.alias("p"), F.col("a") == F.col("p.c")).join(described.alias("q"), F.col("b") == F.col("q.c")).where(fits(percent)).select("a", "b")
-    tested = [verify(ws.table(stars))]
-    partners = 1
-    while True:
-        known = tested[0]
-        for more in tested[1:]:
-            known = known.unionByName(more)
-        edges = known.where("linked").select("a", "b")
-        roots = components(ws, edges)
+    tested = verify(ws.table(stars))
+    links = tested.where("linked").select("a", "b")
+    roots = components(ws, links)
+    for partners in (1, 16, None):
         at = members.join(roots, F.col("c") == F.col("v"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
         mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_groups = ws.table(at.join(mixed, "key").join(described, "c"))
-        p, q = open_groups.alias("p"), open_groups.alias("q")
-        apart = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") > F.col("q.c")) & (F.col("p.root") != F.col("q.root")) & fits(percent))
-        apart = apart.select(F.col("p.c").alias("a"), F.col("q.c").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"), distance().alias("apart")).distinct()
-        apart = ws.table(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        ws.drop(open_groups)
-        if apart.isEmpty():
-            return edges
-        place = F.expr("row_number() over (partition by a, rb order by apart, b)")
-        tested.append(verify(ws.table(apart.withColumn("place", place).where(F.col("place") <= partners).select("a", "b"))))
-        ws.drop(apart)
-        partners *= 4
+        blocks = lead.where("m > 2").join(mixed, "key").select("key", "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+        rows = at.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
+        rows = rows.select("key", F.least("block", "j").alias("bi"), F.greatest("block", "j").alias("bj"), "block", "c", "root", "lead").distinct()
+        rows = rows.join(described, "c").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        near = rows.mapInArrow(close_pairs(percent, partners), "a long, b long").distinct()
+        near = ws.table(near.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if near.isEmpty():
+            continue
+        more = verify(near)
+        tested = ws.table(tested.unionByName(more))
+        if not more.where("linked").isEmpty():
+            links = tested.where("linked").select("a", "b")
+            roots = components(ws, links)
+    return roots
