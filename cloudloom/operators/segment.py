@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators import aggregates as A
+from cloudloom.sources.shared import shared_folder
 
 FRAME = ("frame_id",)
 
@@ -30,16 +32,24 @@ def dense_crf(unary: DataFrame, kernel: DataFrame, weight: float, rounds: int =
     return q.groupBy("frame_id", node).agg(best).select("frame_id", node, (-F.col("m.o")).alias("label"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends here, and any executor can read it again."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def grow(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = FRAME, node: str = "pt_id", rounds: int = 30) -> DataFrame:
     """Connected components by smallest label with pointer jumping; ``edges(by, a, b)`` in either direction."""
-    both = edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    both = edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(both)
     label = nodes.select(*by, node, F.col(node).alias("root"))
     for _ in range(rounds):
         seen = both.join(label.select(*by, F.col(node).alias("b"), "root"), [*by, "b"]).groupBy(*by, F.col("a").alias(node)).agg(F.min("root").alias("near"))
         lower = label.join(seen, [*by, node], "left").select(*by, node, "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         jump = lower.select(*by, F.col(node).alias("low"), F.col("low").alias("far"))
         new = lower.join(jump, [*by, "low"], "left").select(*by, node, "root", F.least("low", F.coalesce("far", "low")).alias("new"))
-        new = new.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = written(new)
         moved = new.where("new <> root").limit(1).count()
         label = new.select(*by, node, F.col("new").alias("root"))
         if not moved:
@@ -76,8 +86,7 @@ def region_grow_rgb(points: DataFrame, neighbours: DataFrame, point_colour: floa
     ends = ends.withColumn("d", rd)
     nearest = ends.where(F.col("an") < least).groupBy(*by, "a").agg(F.min(F.struct("d", "b")).alias("m")).select(*by, "a", F.col("m.b").alias("b"))
     merges = ends.where(F.col("d") < region_colour).select(*by, "a", "b").union(nearest)
-    merged = grow(mean.select(*by, "root"), merges, by, node="root") if "root" not in by else None
-    final = merged.toDF(*by, "root", "top")
+    final = grow(mean.select(*by, F.col("root").alias("region")), merges, by, node="region").toDF(*by, "root", "top")
     return numbered(roots.join(final, [*by, "root"]).select(*by, "pt_id", F.col("top").alias("root")), 1, 1 << 60, by)
 
 
@@ -105,6 +114,7 @@ def planes(points: DataFrame, by: Sequence[str] = FRAME, rounds: int = 60, thres
 
 def extract_planes(points: DataFrame, k: int, threshold: float = 0.05, by: Sequence[str] = FRAME, up: Sequence[float] = (0.0, 0.0, 1.0)) -> DataFrame:
     """Planes one after another, the first across ``up``, the others along it: (by, pt_id, plane) with 0 for the rest."""
+    points = points.select(*by, "pt_id", "x", "y", "z")
     left, found = points, None
     for i in range(1, k + 1):
         p = planes(left, by, threshold=threshold, seed=i, axis=up, slack=0.2, parallel=i > 1)
@@ -122,6 +132,7 @@ def supervoxels(voxels: DataFrame, adjacency: DataFrame, seed_size: float, round
     ``voxels(by, sv, cx, cy, cz, nx, ny, nz, r, g, b)`` with ``sv`` as the voxel's number; the result has ``seg`` for each.
     """
     wn, wc, ws = weights
+    voxels, adjacency = written(voxels), written(adjacency)
     cells = voxels.withColumns({f"s{c}": F.floor(F.col(f"c{c}") / seed_size).cast("long") for c in "xyz"})
     seeds = cells.groupBy(*by, "sx", "sy", "sz").agg(F.min(F.struct(sum((F.pow(F.col(f"c{c}") - (F.col(f"s{c}") + 0.5) * seed_size, 2) for c in "yz"), F.pow(F.col("cx") - (F.col("sx") + 0.5) * seed_size, 2)).alias("d"), "sv")).alias("m")).select(*by, F.col("m.sv").alias("sv"))
     label = voxels.select(*by, "sv").join(seeds.withColumn("seg", F.col("sv")), [*by, "sv"], "left")
@@ -137,7 +148,7 @@ def supervoxels(voxels: DataFrame, adjacency: DataFrame, seed_size: float, round
         space = F.sqrt(sum((F.pow(F.col(f"c{c}") - F.col(f"m_c{c}"), 2) for c in "yz"), F.pow(F.col("cx") - F.col("m_cx"), 2)))
         d = wn * (1 - F.abs(dot) / F.when(len_ > 0, len_).otherwise(1.0)) + wc * colour / 255.0 + ws * space / seed_size
         best = at.withColumn("d", F.round(d, 9)).groupBy(*by, "sv").agg(F.min(F.struct("d", "seg")).alias("m")).select(*by, "sv", F.col("m.seg").alias("seg"))
-        label = voxels.select(*by, "sv").join(best, [*by, "sv"], "left")
+        label = written(voxels.select(*by, "sv").join(best, [*by, "sv"], "left"))
     return label
 
 
@@ -326,4 +337,4 @@ def graph_cut(costs: DataFrame, edges: DataFrame, method: str = "expansion", by:
 
     kinds = {f.name: f.dataType.simpleString() for f in costs.schema}
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", sv long, label int"
-    return costs.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(run, schema)
+    return costs.groupBy(*by).cogroup(edges.toDF(*edges.columns).groupBy(*by)).applyInPandas(run, schema)

@@ -54,7 +54,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, metric: str =
     return a.join(b, [*by, *keys]).withColumn("d", d).where(F.col("d") < limit if strict else F.col("d") <= limit).select(*by, key, "nb", "d")
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, by: Sequence[str] = ("frame_id",), key: str = "pt_id", rings: int = 6, nb: str = "nb") -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, by: Sequence[str] = ("frame_id",), key: str = "pt_id", rings: int = 4, nb: str = "nb") -> DataFrame:
     """The ``k`` nearest points of ``right`` for each of ``left``: (by, key, nb, d2, rank from 1), ties by the neighbour's key.
 
     Candidates come from the cells around a point. A point is done if it has k neighbours no farther than the searched cells
@@ -77,7 +77,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, by: Sequenc
             found.append(ranked.select(*by, key, nb, "d2", "rank"))
             break
         sure = F.max(F.when((F.col("rank") == k) & (F.col("d2") <= float(size) ** 2), 1)).over(Window.partitionBy(*by, key))
-        ranked = ranked.withColumn("_sure", sure)
+        ranked = ranked.withColumn("_sure", sure).persist()  # read by what is done and by what goes on
         done = ranked.where("_sure = 1")
         found.append(done.select(*by, key, nb, "d2", "rank"))
         left_over = todo.join(done.select(*by, key).distinct(), [*by, key], "left_anti")
