@@ -380,3 +380,46 @@ def io_supervoxel(v: Views) -> DataFrame:
 def src_image_labels(v: Views) -> DataFrame:
     coded = v.pix.select("prow", "pcol", (F.col("prow") % 3 * 40).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
     return meshes.read_annotation(coded)
+
+
+@query("spectrum")
+def spectrum(v: Views) -> DataFrame:
+    """A function on the supervoxels (their height), rebuilt from the strongest coefficients of its spectrum, and what is left."""
+    f = v.supervoxels.select("frame_id", "sv", F.col("cz").alias("f"))
+    base = E.spectral_base(v.supervoxels, spectral_affinity(v), 12, "M").select("frame_id", "sv", F.posexplode("base").alias("i", "e"))
+    from cloudloom.operators.aggregates import top_k
+
+    c = base.join(f, ["frame_id", "sv"]).groupBy("frame_id", "i").agg(F.sum(F.col("e") * F.col("f")).alias("c"))
+    kept = top_k(c, 5, ["frame_id"], [F.desc(F.abs("c")), "i"]).select("frame_id", "i", "c")
+    rebuilt = base.join(F.broadcast(kept), ["frame_id", "i"]).groupBy("frame_id", "sv").agg(F.sum(F.col("c") * F.col("e")).alias("g"))
+    return rebuilt.join(f, ["frame_id", "sv"]).select("frame_id", "sv", "f", "g", (F.col("f") - F.col("g")).alias("residual"))
+
+
+@query("update_object")
+def update_object(v: Views) -> DataFrame:
+    """Each label's points of all frames registered to one model: label, centroids."""
+    out = None
+    for label in (1, 2):
+        pts = sample(v, 4).where(f"label = {label}").persist()
+        m = G.fit(pts, G.initial(pts, 8, 1), G.VARIANTS["jrmpc"], 3)
+        rows = v.spark.createDataFrame([(label, k, *map(float, x), float(p)) for k, (x, p) in enumerate(zip(m.x, m.p, strict=True))], "label int, k int, x double, y double, z double, p double")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("update_cluster")
+def update_cluster(v: Views) -> DataFrame:
+    """Patch features in the discriminant base of their labels, and each class's centre."""
+    dims = [f"d{i}" for i in range(6)]
+    rows = patch_feature(v).select("frame_id", "label", *[F.element_at("feature", 126 + i).alias(d) for i, d in enumerate(dims)])
+    base = M.class_base(rows, dims, 2)
+    flat = [sum((F.col(d) * float(base[i, k]) for i, d in enumerate(dims) if i), F.col(dims[0]) * float(base[0, k])).alias(f"p{k}") for k in range(base.shape[1])]
+    return rows.select("label", *flat).groupBy("label").agg(*[F.avg(f"p{k}").alias(f"p{k}") for k in range(base.shape[1])], F.count(F.lit(1)).alias("n"))
+
+
+@query("sdp")
+def sdp(v: Views) -> DataFrame:
+    """A small semidefinite programme: greatest trace product under the trace of the identity."""
+    c = np.array([[2.0, 1.0], [1.0, 3.0]])
+    x, y, _ = L.solve_sdp(c, [np.eye(2)], np.array([1.0]))
+    return v.spark.createDataFrame([(float(np.sum(c * x)), float(y[0]))], "primal double, dual double")

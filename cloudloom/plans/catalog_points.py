@@ -350,3 +350,75 @@ def snk_layout(v: Views) -> DataFrame:
     side = [2 * F.shiftright("corner", b).bitwiseAND(1) - 1 for b in range(3)]
     mm = [F.round(1000 * (F.col(f"c{c}") + s * F.col(f"h{c}"))).cast("long").cast("string") for c, s in zip("xyz", side, strict=True)]
     return at.select("box_id", "corner", F.concat_ws(" ", F.lit("v"), *mm).alias("line"))
+
+
+@query("circ_shift", with_views("pts", "SELECT frame_id, pt_id, CAST((pt_id + 5) % 16 AS BIGINT) AS k FROM pts"))
+def circ_shift(v: Views) -> DataFrame:
+    return v.pts.select("frame_id", "pt_id", G.circular_shift(F.col("pt_id"), 5, 16).cast("long").alias("k"))
+
+
+@query("weights", with_views("pts", """SELECT frame_id, pt_id, round(1 / (1 + x / 0.5e0), 6) + 0e0 AS radial, round(exp(-x * x / 2e0), 6) + 0e0 AS gauss, round(CASE WHEN abs(y - 1) < 0.7e0 THEN 0.5e0 * (1 + cos(pi() * abs(y - 1) / 0.7e0)) ELSE 0 END, 6) + 0e0 AS bump,
+ round(ln(greatest(x - 1, 1e-3)), 6) + 0e0 AS low, round(exp(least(x, 1e0)), 6) + 0e0 AS high FROM pts"""))
+def weights(v: Views) -> DataFrame:
+    """Radial, Gaussian and raised-cosine weights, and cut logarithm and exponential."""
+    x, y = F.col("x"), F.col("y")
+    return v.pts.select("frame_id", "pt_id", rounded(G.radial(x, 0.5), "radial"), rounded(G.gaussian(x * x, 2.0), "gauss"), rounded(G.bump(y, F.lit(1.0), 0.7), "bump"), rounded(G.trunc_log(x - 1, 1e-3), "low"), rounded(G.trunc_exp(x, 1.0), "high"))
+
+
+@query("rot2d", with_views("pts", "SELECT frame_id, pt_id, round(cos(0.3e0) * x - sin(0.3e0) * y, 6) + 0e0 AS x, round(sin(0.3e0) * x + cos(0.3e0) * y, 6) + 0e0 AS y FROM pts"))
+def rot2d(v: Views) -> DataFrame:
+    p = G.apply(G.yaw_matrix(F.lit(0.3)), G.vec())
+    return v.pts.select("frame_id", "pt_id", rounded(p[0], "x"), rounded(p[1], "y"))
+
+
+@query("index_hue", with_views("pts", "SELECT DISTINCT label, round(360e0 * label / 5, 6) + 0e0 AS hue FROM pts"))
+def index_hue(v: Views) -> DataFrame:
+    return v.pts.select("label").distinct().select("label", rounded(C.index_to_hue(F.col("label"), 5), "hue"))
+
+
+@query("vertex_normals", """WITH f AS (SELECT box_id, CAST(c AS INT) AS corner, (2 * (c & 1) - 1) AS sx, (2 * ((c >> 1) & 1) - 1) AS sy, (2 * ((c >> 2) & 1) - 1) AS sz FROM (SELECT CAST(r_regionkey + 1 AS INT) AS box_id FROM region), range(0, 8) t(c))
+ SELECT box_id, corner, round(sx / sqrt(3e0), 6) + 0e0 AS nx, round(sy / sqrt(3e0), 6) + 0e0 AS ny, round(sz / sqrt(3e0), 6) + 0e0 AS nz FROM f""")
+def vertex_normals(v: Views) -> DataFrame:
+    """Vertices of boxes take the normalised mean of their faces' normals: faces explode to vertices, then one aggregation."""
+    corner = F.explode(F.array(*[F.lit(i) for i in range(8)]))
+    faces = []
+    for axis in range(3):
+        for sign in (-1.0, 1.0):
+            n = [F.lit(sign if a == axis else 0.0).alias("n" + "xyz"[a]) for a in range(3)]
+            faces.append(F.struct(F.array(*[F.lit(c) for c in range(8) if (2 * (c >> axis & 1) - 1) == sign]).alias("vids"), *n))
+    at = v.boxes.select("box_id", F.explode(F.array(*faces)).alias("f")).select("box_id", F.explode("f.vids").alias("corner"), "f.nx", "f.ny", "f.nz")
+    s = at.groupBy("box_id", "corner").agg(*[F.sum("n" + c).alias("n" + c) for c in "xyz"])
+    return s.select("box_id", "corner", *[rounded(c, "n" + a) for c, a in zip(G.unit(G.vec("n")), "xyz", strict=True)])
+
+
+@query("shuffle")
+def shuffle(v: Views) -> DataFrame:
+    """A seeded order of each frame's points by hash: no sort over all rows."""
+    w = Window.partitionBy("frame_id").orderBy(F.xxhash64("pt_id", F.lit(11)), "pt_id")
+    return v.pts.select("frame_id", "pt_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("src_mesh", with_views("pts", "SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY pt_id) - 1 AS BIGINT) AS pt_id, x, y, z, r, g, b FROM pts"))
+def src_mesh(v: Views) -> DataFrame:
+    """Frames written as binary PLY files by the executors, and read again."""
+    import uuid
+
+    from cloudloom.sources import meshes
+    from cloudloom.sources.shared import shared_folder
+
+    folder = f"{shared_folder(v.spark)}/mesh-{uuid.uuid4().hex}"
+    meshes.write_frames(v.pts.select("frame_id", "pt_id", "x", "y", "z", "r", "g", "b"), folder, "ply_binary").count()
+    return meshes.read_any_store(v.spark, folder, "*.ply").select("frame_id", "pt_id", "x", "y", "z", "r", "g", "b")
+
+
+@query("src_ascii", with_views("pts", "SELECT round(sum(x), 3) + 0e0 AS x, round(sum(y), 3) + 0e0 AS y, round(sum(z), 3) + 0e0 AS z, CAST(count(*) AS BIGINT) AS n FROM pts"))
+def src_ascii(v: Views) -> DataFrame:
+    """Rows of numbers as text, written and read again."""
+    import uuid
+
+    from cloudloom.sources import meshes
+    from cloudloom.sources.shared import shared_folder
+
+    path = f"{shared_folder(v.spark)}/ascii-{uuid.uuid4().hex}"
+    v.pts.select(F.concat_ws(" ", "x", "y", "z").alias("value")).write.text(path)
+    return meshes.read_ascii(v.spark, path).agg(*[(F.round(F.sum(c), 3) + 0.0).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"))

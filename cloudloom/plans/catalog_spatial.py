@@ -344,3 +344,25 @@ def gaussian_blur(v: Views) -> DataFrame:
     w = F.exp(-(F.pow("dr", F.lit(2)) + F.pow("dc", F.lit(2))) / 2.0)
     spread = moved.select((F.col("prow") + F.col("dr")).alias("prow"), (F.col("pcol") + F.col("dc")).alias("pcol"), w.alias("w"), (w * F.col("r")).alias("wr")).groupBy("prow", "pcol").agg((F.sum("wr") / F.sum("w")).alias("v"))
     return v.pix.select("prow", "pcol").join(spread, ["prow", "pcol"]).select("prow", "pcol", rounded(F.col("v"), "r"))
+
+
+@query("voxel_similarity2", with_views("supervoxels sv_edges", AFF + " SELECT frame_id, a, b, round(CASE WHEN theta < -0.35e0 THEN 0e0 WHEN theta > 0.35e0 THEN 2e0 ELSE 1 / (1 + sqrt(col) / 100) END, 6) + 0e0 AS w FROM t"))
+def voxel_similarity2(v: Views) -> DataFrame:
+    """By the edge's concavity: nothing across a concave edge, the most across a convex one, else by colour."""
+    e = with_ends(v.sv_edges, unit_nodes(v), ["cx", "cy", "cz", "r", "g", "nx", "ny", "nz"])
+    side = lambda p, s: tuple(F.col(f"{p}{c}_{s}") for c in "xyz")
+    edge = G.unit(G.minus(side("c", "a"), side("c", "b")))
+    theta = G.angle(G.dot(side("n", "a"), edge)) - G.angle(G.dot(side("n", "b"), edge))
+    col = F.sqrt(F.pow(F.col("r_a") - F.col("r_b"), 2) + F.pow(F.col("g_a") - F.col("g_b"), 2))
+    w = F.when(theta < -0.35, 0.0).when(theta > 0.35, 2.0).otherwise(1 / (1 + col / 100))
+    return e.select("frame_id", "a", "b", rounded(w, "w"))
+
+
+@query("match_sv", with_views("svpts", """+ s AS (SELECT * FROM svpts WHERE frame_id = 0 AND pt_id % 16 = 0), t AS (SELECT * FROM svpts WHERE frame_id = 0 AND pt_id % 16 = 8),
+ n AS (SELECT sv, pt_id, d2, nb, row_number() OVER (PARTITION BY pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.sv, a.pt_id, b.pt_id AS nb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM s a, t b))
+ SELECT sv, round(avg(1 / (1 + d2 / 0.1e0)), 6) + 0e0 AS geo FROM n WHERE rank = 1 GROUP BY sv"""))
+def match_sv(v: Views) -> DataFrame:
+    """Geometric score of each supervoxel against another set: mean over its points."""
+    s, t = v.svpts.where("frame_id = 0 AND pt_id % 16 = 0"), v.svpts.where("frame_id = 0 AND pt_id % 16 = 8")
+    near = S.knn_join(s, t, 1, 0.6).join(s.select("pt_id", "sv"), "pt_id")
+    return near.groupBy("sv").agg(rounded(F.avg(G.radial(F.col("d2"), 0.1)), "geo"))
