@@ -252,8 +252,8 @@ def read_ascii(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.transform(F.split(F.trim("value"), r"[\s,]+"), lambda v: v.cast("double")).alias("v")).where(F.size("v") > 0)
     n = rows.count()
     if n == 3 and rows.agg(F.max(F.size("v"))).first()[0] != 3:
-        flat = rows.select(F.expr("row_number() over (order by line)").alias("axis"), F.posexplode("v").alias("pos", "c"))
-        return flat.groupBy("pos").pivot("axis", [1, 2, 3]).agg(F.first("c")).toDF("pos", "x", "y", "z")
+        flat = rows.withColumn("axis", F.expr("row_number() over (order by line)")).select("axis", F.posexplode("v").alias("pos", "c"))  # three rows
+        return flat.groupBy("pos").agg(*[F.max(F.when(F.col("axis") == i + 1, F.col("c"))).alias(a) for i, a in enumerate("xyz")])
     return rows.select(F.col("line").alias("pos"), *[F.col("v")[i].alias(c) for i, c in enumerate("xyz")])
 
 
