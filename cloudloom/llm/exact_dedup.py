@@ -86,6 +86,7 @@ def exact_dedup(ws: Workspace, docs: DataFrame, block_chars: int = 4096) -> Data
     """One row per row of ``docs``: rid, doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id stays."""
     ids = identities(ws, docs.select("doc_id", "text"), block_chars)
     groups = ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = ws.table(groups)  # both sides are tables now, so that Spark can split the rows of a large group
     return ids.join(groups, ["level", "name"]).select(
         "rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
