@@ -31,6 +31,7 @@ def shard(ws: Workspace, docs: DataFrame, shards: int = 40, rounds: int = 4) ->
     total = nodes.count()
     base, rest = divmod(total, shards)
     groups = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = ws.table(groups)  # tables on both sides of the joins: Spark can split the rows of a large group
     start = F.pmod(F.xxhash64("rid", F.lit(17)), F.lit(shards)).cast("int")
     placed = ws.table(nodes.join(groups, "g").select("rid", "g", "members", start.alias("shard")))
     numbers = ws.spark.range(shards).select(F.col("id").cast("int").alias("t"))
@@ -40,6 +41,7 @@ def shard(ws: Workspace, docs: DataFrame, shards: int = 40, rounds: int = 4) ->
         load = held.groupBy("shard").agg(F.sum("c").alias("load"))
         room = F.broadcast(numbers.join(load, F.col("t") == F.col("shard"), "left").select("t", (F.lit(base) - F.coalesce("load", F.lit(0))).alias("room")).where("room > 0"))
         best = held.join(room, F.col("shard") == F.col("t")).groupBy("g").agg(F.max(F.struct("c", F.xxhash64("g", "t").alias("h"), "t", "room")).alias("best"))
+        best = ws.table(best)
         asks = placed.join(held, ["g", "shard"]).join(best, "g").select("rid", "g", "members", "shard", F.col("best.t").alias("t"), F.col("best.room").alias("room"), (F.struct(F.col("best.c"), F.col("best.h")) > F.struct("c", F.xxhash64("g", "shard"))).alias("gains"))
         asks = ws.table(asks.where("gains").drop("gains"))
         if asks.isEmpty():
@@ -47,7 +49,7 @@ def shard(ws: Workspace, docs: DataFrame, shards: int = 40, rounds: int = 4) ->
             break
         moves = ranked(ws, asks, ["t"], ["members", "g", "rid"], "turn").where("turn < room").select("rid", F.col("t").alias("to"))
         after = ws.table(placed.join(moves, "rid", "left").select("rid", "g", "members", F.coalesce("to", "shard").alias("shard")))
-        ws.drop(placed, held, asks)
+        ws.drop(placed, held, asks, best)
         placed = after
     quota = F.when(F.col("shard") < rest, F.lit(base + 1)).otherwise(F.lit(base))
     seated = ws.table(ranked(ws, placed, ["shard"], ["members", "g", "rid"], "slot").where(F.col("slot") < quota).select("rid", "shard", "slot"))
