@@ -219,7 +219,7 @@ def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85) -
 
     roots = rows.where("n > 0").select("rid", "doc_id", "d1", "d2").join(classes.select("d1", "d2", "c"), ["d1", "d2"]).join(roots, F.col("c") == F.col("v"), "left").select("rid", "doc_id", F.coalesce("root", "c").alias("root"))
     roots = ws.table(roots)
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = ws.table(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     placed = roots.join(least, "root").select("rid", "root", "component_id")
     return rows.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(placed, "rid", "left").select(
         "rid", "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rid").alias("root")
