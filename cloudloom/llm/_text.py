@@ -39,6 +39,20 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             trim()
 
 
+def gathered(batches, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Small batches put together up to about ``limit`` bytes: words that recur are then met once."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column), "").cast(pa.large_string())
 
