@@ -203,16 +203,14 @@ def judge(ws: Workspace, docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE,
     else:
         words = by_language(texts, common)
     mass = sum((F.col(c) for c in CLASSES), F.lit(0))
-    own = [F.col(c) / mass for c in CLASSES]
-    reference = [F.coalesce(F.col("shares")[F.lit(i)], F.lit(0.0)) for i in range(len(CLASSES))]
-    all_of = sum(reference[1:], reference[0])
+    own = F.transform(F.array(*CLASSES), lambda x: x / F.greatest(mass, F.lit(1)))
+    reference = F.array(*[F.coalesce(F.col("shares")[F.lit(i)], F.lit(0.0)) for i in range(len(CLASSES))])
+    add = lambda a, x: a + x
+    described = described.withColumns({"_own": own, "_ref": reference}).withColumn("_all", F.aggregate("_ref", F.lit(0.0), add))
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    total = F.lit(0.0)
-    for p, r in zip(own, reference, strict=True):
-        q = r / all_of
-        m = (p + q) / 2
-        total = total + term(p, m) + term(q, m)
-    class_distance = F.when((mass > 0) & (all_of > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0)))).otherwise(0.0)
+    parts = F.zip_with("_own", F.transform("_ref", lambda r: r / F.when(F.col("_all") > 0, F.col("_all")).otherwise(1.0)), lambda p, q: term(p, (p + q) / 2) + term(q, (p + q) / 2))
+    total = F.aggregate(parts, F.lit(0.0), add)
+    class_distance = F.when((mass > 0) & (F.col("_all") > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0)))).otherwise(0.0)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     far = ((mass >= CLASS_CHARS) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= COMPARED_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > max_word))
     joined = described.withColumn("class_distance", class_distance).join(words, "rid")
