@@ -7,6 +7,7 @@ stage's result in the shared folder and reads it again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloudloom.llm import exact_dedup, mixing, packing, quality, sketch_join
 from cloudloom.llm._common import Workspace, maybe_broadcast, row_id
@@ -30,9 +31,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with five-word shingles at 0.8 or more, the first row stays."""
+    """Of each component of documents with five-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
     ws = Workspace(spark)
-    return without(docs, ws.table(sketch_join.similar(ws, docs, width=5, percent=80).where("rid <> root").select("rid")))
+    found = ws.table(sketch_join.similar(ws, docs, width=5, percent=80).select("rid", "doc_id", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    stay = ws.table(found.groupBy("root").agg(first).select("root", F.col("first.rid").alias("stay")))
+    return without(docs, ws.table(found.join(stay, "root").where("rid <> stay").select("rid")))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
