@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHED = 300_000  # words
+CACHED = {True: 300_000, False: 600_000}  # words kept, by kind of vocabulary
 SPECIAL = "<|"
 SEEN = 1 << 22  # places of the table of words that were met once
 ODD_SPACES = r"[\s\v\x{85}\p{Z}] (?:[\s\v\x{85}\p{Z}]|$)"
@@ -39,7 +39,8 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.seen = np.zeros(SEEN, bool)
         self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(CACHED + 1, np.int64)
+        self.most = CACHED[by_words]
+        self.ends = np.zeros(self.most + 1, np.int64)
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of texts, each encoded by itself.
@@ -73,9 +74,9 @@ class Encoder:
         begin[new], end[new] = base + ends - lengths, base + ends
         pool = np.concatenate([self.ids[:base], ids])
         n = len(self.known)
-        if n < CACHED and len(new):  # a word is kept when it is met a second time
+        if n < self.most and len(new):  # a word is kept when it is met a second time
             place = np.fromiter(map(hash, missed), np.int64, len(missed)) & (SEEN - 1)
-            again = np.flatnonzero(self.seen[place])[: CACHED - n]
+            again = np.flatnonzero(self.seen[place])[: self.most - n]
             self.seen[place] = True
             if len(again):
                 keep = gathered(ids, (ends - lengths)[again], lengths[again])
@@ -110,19 +111,17 @@ class Encoder:
             word = codes.copy()
             word[first] = len(names) + where
             begin, end = begin[word], end[word]
-        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        n = np.where(odd[doc], 0, end - begin)
-        total = np.bincount(doc, n, len(texts)).astype(np.int64)
-        whole, whole_ids = self.encoded([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
-        total[odd] = whole
+        n = end - begin
+        if not odd.any():
+            return np.concatenate([[0], np.cumsum(n)])[offsets], gathered(pool, begin, n)
+        n = np.where(np.repeat(odd, np.diff(offsets)), 0, n)
+        total = np.diff(np.concatenate([[0], np.cumsum(n)])[offsets])
+        total[odd], whole_ids = self.encoded([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
         ends = np.concatenate([[0], np.cumsum(total)])
-        if odd.any():
-            out = np.empty(ends[-1], np.uint32)
-            keep = np.repeat(~odd, total)
-            out[keep] = gathered(pool, begin, n)
-            out[~keep] = whole_ids
-        else:
-            out = gathered(pool, begin, n)
+        out = np.empty(ends[-1], np.uint32)
+        keep = np.repeat(~odd, total)
+        out[keep] = gathered(pool, begin, n)
+        out[~keep] = whole_ids
         return ends, out
 
 
