@@ -355,7 +355,9 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 600, max_chars: in
     rows: list[tuple[str, int]] = []
     if marks:
         for y in (0, 1):
-            picked = train.where(F.col("toxic") == y).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, max_chars).alias("text")).orderBy("h").limit(max_rows)
+            own = train.where(F.col("toxic") == y).withColumn("h", F.xxhash64("doc_id"))
+            last = own.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]  # the numbers alone, then these rows' texts
+            picked = own.where(F.col("h") <= F.lit(last)).select("h", F.substring("text", 1, max_chars).alias("text")).orderBy("h").limit(max_rows)
             rows += [(r["text"], y) for r in picked.collect()]
     model = train_field(rows, marks)
     return texts.withColumn("held_out", held_out()).mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int, toxic_tokens long, spans array<struct<start:int,end:int>>")
