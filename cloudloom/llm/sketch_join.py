@@ -240,7 +240,7 @@ def close_pairs(percent: int, partners: int | None):
         free = c != g["lead"]  # the pairs with the leader are tested
         for i in range(0, m, 256):
             e = slice(i, min(m, i + 256))
-            h = np.bitwise_count(s[e, None] ^ s[None]).sum(2, dtype=np.int64)
+            h = np.bitwise_count((s[e, None] ^ s[None]).view(U)).sum(2, dtype=np.int64)  # of signed words it would count the absolute value's bits
             total = n[e, None] + n[None]
             small = 100 * np.minimum(n[e, None], n[None]) >= percent * np.maximum(n[e, None], n[None])
             ok = (h <= total - 2 * -(-percent * total // (100 + percent))) & small & (root[e, None] != root[None]) & free[e, None] & free[None]

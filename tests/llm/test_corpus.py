@@ -125,6 +125,33 @@ def test_partners_share_a_word():
         assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_close_pairs_miss_no_linked_pair(percent):
+    """Sketch words whose sign bits differ, in pairs without the group's leader, against brute force."""
+    r = np.random.default_rng(8)
+    sets = []
+    for size in [30, 60, 120, 300, 1000] * 8:
+        x = r.integers(0, 1 << 64, size, dtype=np.uint64)
+        gone = size * (100 - percent) // (100 + percent)  # of each: the most that leaves them linked
+        sets += [x, np.concatenate([x[gone:], r.integers(0, 1 << 64, gone, dtype=np.uint64)])]
+    sets = [np.unique(x) for x in sets]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    s = sketch_join.bit_sketches(np.concatenate(sets), ends)
+    linked = set()
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        same = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+            linked.add((j, i))
+    assert len(linked) == 40 and any(((s[a] ^ s[b]) < 0).any() for a, b in linked)
+    n = len(sets)
+    same = {k: np.zeros(n, np.int64) for k in ("key", "bi", "bj", "block")}
+    group = same | {"c": np.arange(n), "root": np.arange(n), "n": np.diff(ends), "lead": np.full(n, -1)} | {f"s{i}": s[:, i] for i in range(s.shape[1])}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in group.items()})
+    for partners in (1, None):
+        found = {pair for out in sketch_join.close_pairs(percent, partners)([batch]) for pair in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+        assert linked <= found
+
+
 def test_sharding(spark, rows):
     rows = rows + [(20_000 + i, "hot") for i in range(60)]
     got = sharding.shard(Workspace(spark), table(spark, rows), shards=7).collect()
