@@ -30,11 +30,11 @@ class Workspace:
         self.serial = 0
         spark.conf.set(ARROW_ROWS, str(min(1000, int(spark.conf.get(ARROW_ROWS, "1000")))))  # long texts come in batches too
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """``df``, written and read again."""
         self.serial += 1
         path = f"{self.path}/{self.serial}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_to = path
@@ -45,6 +45,13 @@ class Workspace:
         for df in tables:
             self.delete(df._written_to)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        kept = {df._written_to for df in tables}
+        for k in range(1, self.serial + 1):
+            if f"{self.path}/{k}" not in kept:
+                self.delete(f"{self.path}/{k}")
+
     def delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,10 +64,15 @@ class Workspace:
 
 
 def row_id() -> Column:
-    """A row's number in the scan: the same in each scan of the same table."""
+    """A row's number in this scan. Another scan may cut the files otherwise and number other rows so: write it with what is read again."""
     return F.monotonically_increasing_id()
 
 
+def numbered(ws: Workspace, rows: DataFrame, *columns: str) -> DataFrame:
+    """(rid, columns), written once, so that a number stays with its row in all later scans."""
+    return ws.table(rows.select(row_id().alias("rid"), *columns), compression="zstd")
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether a table of narrow rows has at most so many: the check before each broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -42,11 +42,11 @@ def named(ws: Workspace, keys: DataFrame) -> DataFrame:
     return ws.table(keys.repartitionByRange(x, y).sortWithinPartitions(x, y).withColumn("name", F.monotonically_increasing_id()))
 
 
-def identities(ws: Workspace, docs: DataFrame, block_chars: int = 4096) -> DataFrame:
+def identities(ws: Workspace, docs: DataFrame, block_chars: int = 4096, rid: str | None = None) -> DataFrame:
     """``docs(doc_id, text)`` → ``(rid, doc_id, sha, level, name)``: (level, name) is the identity of a text."""
     seed = 0
     while True:
-        cut = docs.select(row_id().alias("rid"), "doc_id", normalised(F.col("text")).alias("t"))
+        cut = docs.select((F.col(rid) if rid else row_id()).alias("rid"), "doc_id", normalised(F.col("text")).alias("t"))
         cut = cut.select("rid", "doc_id", "t", blocks_of(F.col("t"), block_chars).alias("blocks"))
         found = cut.select(F.explode("blocks").alias("block")).select(fingerprint(F.col("block"), seed).alias("f"), "block")
         sets = found.select("f.a", "f.b", "block").groupBy("a", "b").agg(F.size(F.collect_set("block")).alias("texts"))
@@ -82,9 +82,9 @@ def identities(ws: Workspace, docs: DataFrame, block_chars: int = 4096) -> DataF
     return ws.table(rows.drop("keys").join(ids, "rid"))
 
 
-def exact_dedup(ws: Workspace, docs: DataFrame, block_chars: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id stays."""
-    ids = identities(ws, docs.select("doc_id", "text"), block_chars)
+def exact_dedup(ws: Workspace, docs: DataFrame, block_chars: int = 4096, rid: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: rid (from the column named so, if it is given), doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id stays."""
+    ids = identities(ws, docs, block_chars, rid)
     groups = ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     groups = ws.table(groups)  # both sides are tables now, so that Spark can split the rows of a large group
     return ids.join(groups, ["level", "name"]).select(

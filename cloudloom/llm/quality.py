@@ -74,25 +74,35 @@ def class_counts(words: pa.Array) -> np.ndarray:
     return np.stack([*parts, every - sum(parts), every], axis=1)
 
 
-def describe(batches):
-    """(rid, doc_id, lang, text) → base counts and class shares."""
-    for batch in T.slices(batches):
-        texts = T.texts_of(batch)
-        offsets, words = T.split_words(texts)
-        codes, vocabulary = T.coded(words)
-        h = T.hashes(vocabulary)[codes] if len(words) else np.empty(0, np.uint64)
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        per_word = class_counts(vocabulary)
-        counts = np.stack([np.bincount(doc, per_word[codes, i], batch.num_rows).astype(np.int64) for i in range(len(CLASSES) + 1)], axis=1)
-        # a line is equal to an earlier one only if its words are; most texts have one line or none such
-        lines = [repeated_lines(t) if "\n" in t else 0 for t in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("rid"), batch.column("doc_id"), batch.column("lang"), pa.array(np.diff(offsets)), pa.array(counts[:, -1]), pa.array(counts[:, CLASSES.index("symbol")]),
-                pa.array(lines, pa.int64()), pa.array(repeated_words(offsets, h)), *(pa.array(counts[:, i]) for i in range(len(CLASSES))),
-            ],
-            ["rid", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *CLASSES],
-        )
+def described(references: dict[str | None, dict[str, int]]):
+    """(rid, doc_id, lang, text) → base counts, class shares and word distance."""
+
+    def run(batches):
+        measure = word_divergence(references)
+        for batch in T.slices(batches):
+            yield describe(batch, measure)
+
+    return run
+
+
+def describe(batch: pa.RecordBatch, measure) -> pa.RecordBatch:
+    texts = T.texts_of(batch)
+    offsets, words = T.split_words(texts)
+    codes, vocabulary = T.coded(words)
+    h = T.hashes(vocabulary)[codes] if len(words) else np.empty(0, np.uint64)
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    per_word = class_counts(vocabulary)
+    counts = np.stack([np.bincount(doc, per_word[codes, i], batch.num_rows).astype(np.int64) for i in range(len(CLASSES) + 1)], axis=1)
+    # a line is equal to an earlier one only if its words are; most texts have one line or none such
+    lines = [repeated_lines(t) if "\n" in t else 0 for t in texts.to_pylist()]
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("rid"), batch.column("doc_id"), batch.column("lang"), pa.array(np.diff(offsets)), pa.array(counts[:, -1]), pa.array(counts[:, CLASSES.index("symbol")]),
+            pa.array(lines, pa.int64()), pa.array(repeated_words(offsets, h)), *(pa.array(counts[:, i]) for i in range(len(CLASSES))),
+            pa.array(measure(batch.column("lang").to_pylist(), offsets, codes, vocabulary)),
+        ],
+        ["rid", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *CLASSES, "word_distance"],
+    )
 
 
 BASE = "rid long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -153,80 +163,75 @@ def word_references(ws: Workspace, docs: DataFrame, common: int) -> DataFrame:
 
 
 def word_divergence(references: dict[str | None, dict[str, int]]):
-    """(rid, lang, text) → (rid, word_distance)."""
-
-    def run(batches):
-        index: dict[str, int] = {}
-        for table in references.values():
-            for w in table:
-                index.setdefault(w, len(index))
-        known = pa.array(list(index), pa.large_string())
-        langs = {lang: i for i, lang in enumerate(references)}
-        weights = np.zeros((len(references) + 1, len(index)))
-        for lang, table in references.items():
-            for w, n in table.items():
-                weights[langs[lang], index[w]] = n
-        for batch in T.slices(batches):
-            n = batch.num_rows
-            offsets, words = T.split_words(T.texts_of(batch))
-            codes, vocabulary = T.coded(words)
-            at = pc.fill_null(pc.index_in(plain(vocabulary), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(words) else np.empty(0, np.int64)
-            doc = np.repeat(np.arange(n), np.diff(offsets))
-            own = np.bincount(doc[at >= 0] * max(1, len(index)) + at[at >= 0], minlength=n * max(1, len(index))).reshape(n, -1)[:, : len(index)].astype(float) if index else np.zeros((n, 0))
-            which = np.array([langs.get(x, len(references)) for x in batch.column("lang").to_pylist()], np.int64)
-            mask = weights[which] > 0
-            own = own * mask
-            rest = np.diff(offsets) - own.sum(1)
-            # common words against each other, with the others as one more place: half of a language's words are common ones
-            p = np.hstack([own, rest[:, None]])
-            q = weights[which]
-            q = np.hstack([q / np.maximum(q.sum(1, keepdims=True), 1) * 0.5, np.full((n, 1), 0.5)])
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(distance(p, q))], ["rid", "word_distance"])
-
-    return run
-
-
-def judge(ws: Workspace, docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, base counts, base_failed, class_distance, word_distance, kept."""
-    texts = docs.select(row_id().alias("rid"), "doc_id", "lang", "text")
-    rows = ws.table(texts.mapInArrow(describe, BASE + ", " + ", ".join(f"{c} long" for c in CLASSES)))
-    shares = class_references(rows).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "share"))).alias("shares"))
-    shares = maybe_broadcast(ws.table(shares), 10_000)
-    described = rows.join(shares.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    common = word_references(ws, texts.select("lang", "text"), COMMON)
-    common = ws.table(common)
+    """(languages, offsets, codes, vocabulary) of texts → their word distances."""
+    index: dict[str, int] = {}
+    for table in references.values():
+        for w in table:
+            index.setdefault(w, len(index))
+    known = pa.array(list(index), pa.large_string())
+    langs = {lang: i for i, lang in enumerate(references)}
+    weights = np.zeros((len(references) + 1, len(index)))
+    for lang, table in references.items():
+        for w, n in table.items():
+            weights[langs[lang], index[w]] = n
+
+    def measure(of: list[str | None], offsets: np.ndarray, codes: np.ndarray, vocabulary: pa.Array) -> np.ndarray:
+        n = len(of)
+        at = pc.fill_null(pc.index_in(plain(vocabulary), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else np.empty(0, np.int64)
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        own = np.bincount(doc[at >= 0] * max(1, len(index)) + at[at >= 0], minlength=n * max(1, len(index))).reshape(n, -1)[:, : len(index)].astype(float) if index else np.zeros((n, 0))
+        which = np.array([langs.get(x, len(references)) for x in of], np.int64)
+        mask = weights[which] > 0
+        own = own * mask
+        rest = np.diff(offsets) - own.sum(1)
+        # common words against each other, with the others as one more place: half of a language's words are common ones
+        p = np.hstack([own, rest[:, None]])
+        q = weights[which]
+        q = np.hstack([q / np.maximum(q.sum(1, keepdims=True), 1) * 0.5, np.full((n, 1), 0.5)])
+        return distance(p, q)
+
+    return measure
+
+
+def judge(ws: Workspace, docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, rid: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: rid (from the column named so, if it is given), doc_id, base counts, base_failed, class_distance, word_distance, kept."""
+    texts = docs.select((F.col(rid) if rid else row_id()).alias("rid"), "doc_id", "lang", "text")
+    common = ws.table(word_references(ws, docs.select("lang", "text"), COMMON))
+    kind = BASE + ", " + ", ".join(f"{c} long" for c in CLASSES) + ", word_distance double"
     if is_small(common, 64 * 1000):  # a thousand languages
         references: dict[str | None, dict[str, int]] = {}
         for r in common.collect():
             references.setdefault(r["lang"], {})[r["word"]] = r["texts"]
-        words = texts.select("rid", "lang", "text").mapInArrow(word_divergence(references), "rid long, word_distance double")
+        rows = texts.mapInArrow(described(references), kind)
     else:
-        words = by_language(texts, common)
+        rows = by_language(texts, common, kind)
+    rows = ws.table(rows)  # numbers and all that is known of a text come from one scan
+    shares = class_references(rows).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "share"))).alias("shares"))
+    shares = maybe_broadcast(ws.table(shares), 10_000)
+    judged = rows.join(shares.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     mass = sum((F.col(c) for c in CLASSES), F.lit(0))
     own = F.transform(F.array(*CLASSES), lambda x: x / F.greatest(mass, F.lit(1)))
     reference = F.array(*[F.coalesce(F.col("shares")[F.lit(i)], F.lit(0.0)) for i in range(len(CLASSES))])
     add = lambda a, x: a + x
-    described = described.withColumns({"_own": own, "_ref": reference}).withColumn("_all", F.aggregate("_ref", F.lit(0.0), add))
+    judged = judged.withColumns({"_own": own, "_ref": reference}).withColumn("_all", F.aggregate("_ref", F.lit(0.0), add))
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     parts = F.zip_with("_own", F.transform("_ref", lambda r: r / F.when(F.col("_all") > 0, F.col("_all")).otherwise(1.0)), lambda p, q: term(p, (p + q) / 2) + term(q, (p + q) / 2))
     total = F.aggregate(parts, F.lit(0.0), add)
     class_distance = F.when((mass > 0) & (F.col("_all") > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0)))).otherwise(0.0)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     far = ((mass >= CLASS_CHARS) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= COMPARED_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > max_word))
-    joined = described.withColumn("class_distance", class_distance).join(words, "rid")
-    return joined.select(
+    return judged.withColumn("class_distance", class_distance).select(
         "rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"), "class_distance", "word_distance"
     )
 
 
-def by_language(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """As ``word_divergence`` where languages are too many to hold at once: references come by a join."""
+def by_language(texts: DataFrame, common: DataFrame, kind: str) -> DataFrame:
+    """As ``described`` where languages are too many to hold at once: references come by a join."""
     tables = common.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "texts"))).alias("table")).withColumnRenamed("lang", "_lang")
 
     def run(batches):
-        for batch in batches:
-            for rid, text, table in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "table")), strict=True):
-                one = pa.RecordBatch.from_arrays([pa.array([rid]), pa.array(["x"]), pa.array([text], pa.string())], ["rid", "lang", "text"])
-                yield from word_divergence({"x": dict(table or [])})([one])
+        for batch in T.slices(batches):
+            for i, (lang, table) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("table").to_pylist(), strict=True)):
+                yield describe(batch.slice(i, 1), word_divergence({lang: dict(table or [])}))
 
-    return texts.join(tables, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("rid", "text", "table").mapInArrow(run, "rid long, word_distance double")
+    return texts.join(tables, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("rid", "doc_id", "lang", "text", "table").mapInArrow(run, kind)

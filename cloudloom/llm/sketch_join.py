@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import _text as T
-from cloudloom.llm._common import Workspace, maybe_broadcast, row_id
+from cloudloom.llm._common import Workspace, maybe_broadcast, numbered
 from cloudloom.llm._graph import components
 
 U = np.uint64
@@ -201,9 +201,9 @@ def distance() -> Column:
     return total
 
 
-def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, n_shingles, component_id, root (the component's smallest rid), links tested apart."""
-    texts = docs.select(row_id().alias("rid"), "doc_id", "text")
+def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85, rid: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: rid (from the written column named so, if it is given), doc_id, n_shingles, component_id, root (the component's smallest rid), links tested apart."""
+    texts = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(ws, docs, "doc_id", "text")
     schema = "rid long, doc_id long, n long, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
     rows = ws.table(texts.mapInArrow(summaries(width), schema))
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -215,7 +215,11 @@ def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85) -
     near = keys.select("key", "d1", F.expr(beside.format("lag")).alias("lo"), F.expr(beside.format("lead")).alias("hi"))
     shared = near.where("lo <> d1 or hi <> d1").select("key", "d1").distinct()
     members = ws.table(shared.join(classes.select("d1", "c"), "d1").select("key", "c"))
-    roots = linked_roots(ws, texts, members, classes, width, percent)
+    wanted = ws.table(members.select(F.col("c").alias("rid")).distinct())
+    chosen = texts.select("rid", "text").join(maybe_broadcast(wanted), "rid", "left_semi")
+    sets = ws.table(chosen.mapInArrow(whole_sets(width), "rid long, hashes binary"))
+    ws.drop(wanted, *([] if rid else [texts]))
+    roots = linked_roots(ws, sets, members, classes, percent)
 
     roots = rows.where("n > 0").select("rid", "doc_id", "d1", "d2").join(classes.select("d1", "d2", "c"), ["d1", "d2"]).join(roots, F.col("c") == F.col("v"), "left").select("rid", "doc_id", F.coalesce("root", "c").alias("root"))
     roots = ws.table(roots)
@@ -293,12 +297,8 @@ def close_pairs(percent: int, partners: int | None):
     return run
 
 
-def linked_roots(ws: Workspace, texts: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_roots(ws: Workspace, sets: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(v, root) of the classes whose component has a smaller one; each link that joins two components is verified."""
-    wanted = ws.table(members.select(F.col("c").alias("rid")).distinct())
-    chosen = texts.select("rid", "text").join(maybe_broadcast(wanted), "rid", "left_semi")
-    sets = ws.table(chosen.mapInArrow(whole_sets(width), "rid long, hashes binary"))
-    ws.drop(wanted)
 
     def verify(pairs: DataFrame) -> DataFrame:
         first = pairs.join(sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y")), "b")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import _text as T
-from cloudloom.llm._common import Workspace, row_id
+from cloudloom.llm._common import Workspace, numbered
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the format
 INDEX = "rid long, page_id long, record_type string, refers_to long, bundle string, frame int, frame_at long, frame_size long, at long, size long"
@@ -159,12 +159,15 @@ def writer(folder: str, frame_bytes: int, bundle_bytes: int):
 def write(ws: Workspace, pages: DataFrame, folder: str, least: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 30) -> DataFrame:
     """Writes the archives; returns the index, a table."""
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(row_id().alias("rid"), "page_id", "url", "html").withColumn("same", F.when(F.octet_length(raw) >= least, F.sha2(raw, 256)))
+    written = numbered(ws, pages, "page_id", "url", "html")
+    rows = written.withColumn("same", F.when(F.octet_length(raw) >= least, F.sha2(raw, 256)))
     groups = rows.where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = ws.table(groups.select("same", F.col("keep.rid").alias("keeper"), F.col("keep.page_id").alias("refers")))
     lone = rows.withColumn("same", F.coalesce("same", F.concat(F.lit("-"), F.col("rid").cast("string"))))  # no common key for short payloads
     marked = lone.join(groups, "same", "left") if not groups.isEmpty() else rows.withColumn("keeper", F.lit(None).cast("long")).withColumn("refers", F.lit(None).cast("long"))
-    return ws.table(marked.select("rid", "page_id", "url", "html", "keeper", "refers").mapInArrow(writer(folder, frame_bytes, bundle_bytes), INDEX))
+    index = ws.table(marked.select("rid", "page_id", "url", "html", "keeper", "refers").mapInArrow(writer(folder, frame_bytes, bundle_bytes), INDEX))
+    ws.drop(written, groups)
+    return index
 
 
 def lookup(bundle: str, frame_at: int, frame_size: int, at: int, size: int) -> tuple[dict[str, str], bytes]:

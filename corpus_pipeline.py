@@ -10,33 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.llm import exact_dedup, mixing, packing, quality, sketch_join
-from cloudloom.llm._common import Workspace, maybe_broadcast, row_id
+from cloudloom.llm._common import Workspace, maybe_broadcast, numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers ``gone(rid)`` lists; rejected rows are the few, so they are what is joined."""
-    return docs.select(*COLUMNS).withColumn("rid", row_id()).join(maybe_broadcast(gone), "rid", "left_anti").drop("rid")
+def without(ws: Workspace, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered ``rows`` without those that ``gone(rid)`` lists; rejected rows are the few, so they are what is joined."""
+    gone = ws.table(gone)
+    ws.keep(rows, gone)
+    return rows.join(maybe_broadcast(gone), "rid", "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
-    return without(docs, ws.table(quality.judge(ws, docs).where("not kept").select("rid")))
+    rows = numbered(ws, docs, *COLUMNS)
+    return without(ws, rows, quality.judge(ws, rows, rid="rid").where("not kept").select("rid"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
-    return without(docs, ws.table(exact_dedup.exact_dedup(ws, docs).where("not kept").select("rid")))
+    rows = numbered(ws, docs, *COLUMNS)
+    return without(ws, rows, exact_dedup.exact_dedup(ws, rows, rid="rid").where("not kept").select("rid"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with five-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
     ws = Workspace(spark)
-    found = ws.table(sketch_join.similar(ws, docs, width=5, percent=80).select("rid", "doc_id", "root"))
+    rows = numbered(ws, docs, *COLUMNS)
+    found = ws.table(sketch_join.similar(ws, rows, width=5, percent=80, rid="rid").select("rid", "doc_id", "root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     stay = ws.table(found.groupBy("root").agg(first).select("root", F.col("first.rid").alias("stay")))
-    return without(docs, ws.table(found.join(stay, "root").where("rid <> stay").select("rid")))
+    return without(ws, rows, found.join(stay, "root").where("rid <> stay").select("rid"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from cloudloom.llm import _tokens, exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, warc, wavelet
-from cloudloom.llm._common import Workspace
+from cloudloom.llm._common import Workspace, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, name string, n long, c string"
@@ -458,3 +458,53 @@ def test_pipeline(spark, tmp_path, rows):
         if name != "best_fit_packing":
             assert state.columns == list(corpus_pipeline.COLUMNS)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1][2]
+
+
+@pytest.fixture
+def recut(spark, tmp_path, monkeypatch):
+    """A table in files of many sizes whose scans are cut otherwise after each written table, as when executors come and go."""
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(limit)
+    written = Workspace.table
+
+    def table_then_recut(self, df, *args, **kwargs):
+        out = written(self, df, *args, **kwargs)
+        spark.conf.set(limit, "9000000" if spark.conf.get(limit) == "9000" else "9000")
+        return out
+
+    def make(df):
+        for k in range(9):
+            df.where(f"pmod(hash(doc_id), 45) between {k * (k + 1) // 2} and {(k + 1) * (k + 2) // 2 - 1}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/recut")
+        spark.conf.set(limit, "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        monkeypatch.setattr(Workspace, "table", table_then_recut)
+        return spark.read.parquet(f"{tmp_path}/recut")
+
+    yield make
+    spark.conf.set(limit, before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+STEADY = {
+    "quality_rules": lambda spark, docs: corpus_stages()["quality_rules"](spark, docs, ""),
+    "exact_dedup": lambda spark, docs: corpus_stages()["exact_dedup"](spark, docs, "").select("doc_id"),
+    "ngram_jaccard_join": lambda spark, docs: corpus_stages()["ngram_jaccard_join"](spark, docs, ""),
+    "op3": lambda spark, docs: sketch_join.similar(Workspace(spark), docs).select("doc_id", "n_shingles", "component_id"),
+    "op4": lambda spark, docs: quality.judge(Workspace(spark), docs).drop("rid"),
+    "op6": lambda spark, docs: warc.read(warc.write(Workspace(spark), docs.selectExpr("doc_id as page_id", "lang as url", "text as html"), shared_dir(spark) + f"/warc{random.random()}", least=1)).drop("html"),
+}
+
+
+def corpus_stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", STEADY)
+def test_numbers_stay_with_their_rows(spark, recut, name):
+    every = [(i, prose(i % 70, 40 + i % 70, 200) + (" end" if i % 3 == 0 else ""), "en", "s") for i in range(210)] + [(1000 + i, "junk", "en", "s") for i in range(40)]
+    docs = table(spark, every)
+    want = collections.Counter(tuple(r) for r in STEADY[name](spark, docs.coalesce(1)).collect())
+    got = collections.Counter(tuple(r) for r in STEADY[name](spark, recut(docs)).collect())
+    assert got == want
