@@ -125,10 +125,11 @@ def text_frequencies(batches):
         codes = again[codes]
         doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         pairs = np.unique(doc * len(names) + codes)
-        langs, lang_codes = np.unique(np.array([x if x is not None else "\0" for x in batch.column("lang").to_pylist()], object).astype(str), return_inverse=True)
+        langs = batch.column("lang").dictionary_encode(null_encoding="encode")  # a null is a language of its own
+        lang_codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         both, n = np.unique(lang_codes[pairs // len(names)] * len(names) + pairs % len(names), return_counts=True)
         word = names.take(pa.array(both % len(names)))
-        langs_of = pa.array([None if x == "\0" else x for x in langs[both // len(names)]], pa.string())
+        langs_of = langs.dictionary.take(pa.array(both // len(names))).cast(pa.string())
         out = pa.RecordBatch.from_arrays([langs_of, word.cast(pa.string()), pa.array(n)], ["lang", "word", "texts"])
         yield out.filter(pc.not_equal(word, ""))
 

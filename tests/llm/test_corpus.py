@@ -218,6 +218,16 @@ def test_quality(spark, rows):
     assert all(by[r[0]]["kept"] for r in clean) and not any(by[r[0]]["kept"] for r in junk)
 
 
+def test_quality_of_null_languages(spark):
+    """Odd words in rows without a language, beside rows of the empty language with words of their own."""
+    usual = [(i, " ".join(["the", "of", "and", "to"][(i + j // 2) % 4] if j % 2 else f"w{j}x{i}" for j in range(150)), None) for i in range(30)]
+    empty = [(100 + i, " ".join("abcd"[(i + j // 2) % 4] if j % 2 else f"v{j}x{i}" for j in range(150)), "") for i in range(30)]
+    odd = (200, " ".join(f"zq{j}" for j in range(150)), None)
+    got = {r["doc_id"]: r for r in quality.judge(Workspace(spark), table(spark, [*usual, *empty, odd]), max_class=1).collect()}
+    assert all(0 < got[r[0]]["word_distance"] < quality.MAX_WORD_DISTANCE and got[r[0]]["kept"] for r in usual + empty)
+    assert got[200]["word_distance"] > quality.MAX_WORD_DISTANCE and not got[200]["kept"] and not got[200]["base_failed"]
+
+
 def test_divergence_is_a_distance():
     p = np.array([[1.0, 0, 0], [1, 1, 0], [0.2, 0.3, 0.5]])
     assert np.allclose(quality.distance(p, p), 0)
