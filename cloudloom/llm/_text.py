@@ -33,7 +33,8 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(at, to - at)
+            # a copy: kernels such as ascii_lower garble arrays whose first offset isn't 0
+            yield batch if to - at == batch.num_rows else batch.take(pa.array(np.arange(at, to)))
             at = to
         if batch.nbytes > 1 << 20:
             trim()
@@ -54,7 +55,12 @@ def gathered(batches, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    return texts if not len(texts) or first_offset(texts) == 0 else texts.take(pa.array(np.arange(len(texts))))
+
+
+def first_offset(texts: pa.Array) -> int:
+    return int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset])
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
