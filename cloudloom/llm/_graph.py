@@ -26,5 +26,5 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         star = done
         # done when the edges are stars: no vertex with two edges up, or with one up and one down
         ends = star.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(star.select("b", F.lit(0), F.lit(1)))
-        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty():
+        if ws.is_empty(ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0")):
             return star.select(F.col("a").alias("v"), F.col("b").alias("root"))

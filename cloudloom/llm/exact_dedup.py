@@ -51,7 +51,7 @@ def identities(ws: Workspace, docs: DataFrame, block_chars: int = 4096, rid: str
         found = cut.select(F.explode("blocks").alias("block")).select(fingerprint(F.col("block"), seed).alias("f"), "block")
         sets = found.select("f.a", "f.b", "block").groupBy("a", "b").agg(F.size(F.collect_set("block")).alias("texts"))
         sets = ws.table(sets)
-        if sets.where("texts > 1").isEmpty():
+        if ws.is_empty(sets.where("texts > 1")):
             break
         seed += 1
         ws.drop(sets)

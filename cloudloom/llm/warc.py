@@ -164,7 +164,7 @@ def write(ws: Workspace, pages: DataFrame, folder: str, least: int = 1000, frame
     groups = rows.where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = ws.table(groups.select("same", F.col("keep.rid").alias("keeper"), F.col("keep.page_id").alias("refers")))
     lone = rows.withColumn("same", F.coalesce("same", F.concat(F.lit("-"), F.col("rid").cast("string"))))  # no common key for short payloads
-    marked = lone.join(groups, "same", "left") if not groups.isEmpty() else rows.withColumn("keeper", F.lit(None).cast("long")).withColumn("refers", F.lit(None).cast("long"))
+    marked = lone.join(groups, "same", "left") if not ws.is_empty(groups) else rows.withColumn("keeper", F.lit(None).cast("long")).withColumn("refers", F.lit(None).cast("long"))
     index = ws.table(marked.select("rid", "page_id", "url", "html", "keeper", "refers").mapInArrow(writer(folder, frame_bytes, bundle_bytes), INDEX))
     ws.drop(written, groups)
     return index
