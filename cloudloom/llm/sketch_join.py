@@ -11,10 +11,13 @@ similarity s is at most d = a + b - 2 ceil(s (a + b) / (1 + s)) for sizes a and
 * Words that hold no shingle say nothing and aren't joined on. K has ``spare`` words more than d + 1, so partners can share only
   such words if both have more than ``spare``; a document with so many gives its words under the next hash function too, and so
   on. (After 32 functions, it gives one common key.)
+* Keys that two sets share are found beside each other in one exchange. A key that many sets give (found beforehand in a sample
+  of the texts) is dealt by key and set, and all its sets are taken to share it, so no task holds a large group.
 * Candidates: of the documents with equal words, each is paired with the smallest one (a star); linked ones become a
   component. Then, in the groups that still hold several components, documents of different components are compared by size
-  and bit sketch, block by block inside a task, and only those that may be linked come out: first each one's closest partner,
-  after these are verified and joined its sixteen closest, at last all. So no link between components is lost, and no group
+  and bit sketches, block by block inside a task, and only those that may be linked come out: first each one's closest partner,
+  after these are verified and joined its sixteen closest, at last all. Sketches have at least as many bits as a set has
+  shingles (up to ``WIDEST``), so that sets without a link seldom pass. So no link between components is lost, and no group
   is expanded into all its pairs.
 * Candidates are verified on the whole sets.
 
@@ -39,7 +42,9 @@ from cloudloom.llm._graph import components
 
 U = np.uint64
 SKETCH_WORDS = 8  # of 64 bits
+WIDEST = 1 << 15  # bits of the widest sketch
 FUNCTIONS = 32
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -114,8 +119,37 @@ def bit_sketches(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view(np.int64)
 
 
+def wide_sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+    """Sketches of more bits for larger sets: half of one, XORed with its other half, is the sketch of half the bits."""
+    out: list[bytes | None] = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        bits = SKETCH_WORDS * 64
+        while bits < min(b - a, WIDEST):
+            bits *= 2
+        if bits == SKETCH_WORDS * 64:
+            out.append(None)
+            continue
+        place = ((h[a:b] >> U(20)) & U(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def folded(sketches: list[bytes | None]) -> np.ndarray | None:
+    """The sketches as rows of 64-bit words, all as wide as the least wide one; None if some set has none."""
+    if not sketches or any(s is None for s in sketches):
+        return None
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), U)
+    for i, s in enumerate(sketches):
+        x = np.frombuffer(s, U)
+        while x.nbytes > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
 def summaries(width: int):
-    """(rid, doc_id, text) → (rid, doc_id, n, d1, d2, s0..s7)."""
+    """(rid, doc_id, text) → (rid, doc_id, n, d1, d2, s0..s7, wide)."""
 
     def run(batches):
         for batch in T.slices(batches):
@@ -123,8 +157,8 @@ def summaries(width: int):
             d1, d2 = digests(h, ends)
             s = bit_sketches(h, ends)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(d1), pa.array(d2), *(pa.array(s[:, i]) for i in range(SKETCH_WORDS))],
-                ["rid", "doc_id", "n", "d1", "d2", *(f"s{i}" for i in range(SKETCH_WORDS))],
+                [batch.column("rid"), batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(d1), pa.array(d2), *(pa.array(s[:, i]) for i in range(SKETCH_WORDS)), pa.array(wide_sketches(h, ends), pa.binary())],
+                ["rid", "doc_id", "n", "d1", "d2", *SKETCH, "wide"],
             )
 
     return run
@@ -201,31 +235,55 @@ def distance() -> Column:
     return total
 
 
-def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85, rid: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: rid (from the written column named so, if it is given), doc_id, n_shingles, component_id, root (the component's smallest rid), links tested apart."""
+def frequent_keys(texts: DataFrame, width: int, percent: int, sampled: int, least: int) -> DataFrame:
+    """(key): keys of at least ``least`` different sets among one text in ``sampled``, by a hash of the text."""
+    some = texts.where(F.pmod(F.xxhash64(F.lit(41), "text"), F.lit(sampled)) == 0)
+    keys = some.select("text").mapInArrow(candidate_keys(width, percent), KEYS).select("d1", F.explode("keys").alias("key"))
+    return keys.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
+
+
+KEYS = "d1 long, keys array<long>"
+SALTS = 64
+
+
+def shared_keys(ws: Workspace, texts: DataFrame, width: int, percent: int, sampled: int, least: int) -> DataFrame:
+    """(key, d1) of the keys that two different sets give, and of all frequent ones."""
+    keys = texts.select("text").mapInArrow(candidate_keys(width, percent), KEYS).select("d1", F.explode("keys").alias("key"))
+    hot = ws.table(frequent_keys(texts, width, percent, sampled, least))
+    if ws.is_empty(hot):
+        keys = keys.withColumn("salt", F.lit(0))
+    else:
+        keys = keys.join(maybe_broadcast(hot.withColumn("hot", F.lit(1))), "key", "left").select("key", "d1", F.when(F.col("hot") == 1, F.pmod("d1", F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"))
+    # one exchange and sort: of the rows of a key, a set's first or last one has another set beside it
+    beside = "{}(d1) over (partition by key, salt order by d1)"
+    near = keys.select("key", "d1", "salt", F.expr(beside.format("lag")).alias("lo"), F.expr(beside.format("lead")).alias("hi"))
+    return near.where("salt > 0 or lo <> d1 or hi <> d1").select("key", "d1")
+
+
+def similar(ws: Workspace, docs: DataFrame, width: int = 4, percent: int = 85, rid: str | None = None, sampled: int = 128, least: int = 32) -> DataFrame:
+    """One row per row of ``docs``: rid (the column named so, if it is given), doc_id, n_shingles, component_id, root (the component's smallest rid).
+
+    Links are tested apart. Keys of at least ``least`` sets among one text in ``sampled`` are dealt out as frequent ones; this
+    doesn't change results.
+    """
     texts = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(ws, docs, "doc_id", "text")
-    schema = "rid long, doc_id long, n long, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    schema = "rid long, doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide binary"
     rows = ws.table(texts.mapInArrow(summaries(width), schema))
-    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
-    classes = ws.table(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("c"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in sketch)))
-
-    # Keys that two different sets share: one exchange and sort; of the rows of a key, a set's first or last one has another set beside it.
-    keys = texts.select("text").mapInArrow(candidate_keys(width, percent), "d1 long, keys array<long>").select("d1", F.explode("keys").alias("key"))
-    beside = "{}(d1) over (partition by key order by d1)"
-    near = keys.select("key", "d1", F.expr(beside.format("lag")).alias("lo"), F.expr(beside.format("lead")).alias("hi"))
-    shared = near.where("lo <> d1 or hi <> d1").select("key", "d1").distinct()
+    classes = ws.table(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("c"), *(F.first(x).alias(x) for x in ("n", *SKETCH, "wide"))))
+    slim = ws.table(rows.select("rid", "doc_id", "n", "d1", "d2"))
+    ws.drop(rows)
+    shared = ws.table(shared_keys(ws, texts, width, percent, sampled, least).distinct())
     members = ws.table(shared.join(classes.select("d1", "c"), "d1").select("key", "c"))
-    wanted = ws.table(members.select(F.col("c").alias("rid")).distinct())
-    chosen = texts.select("rid", "text").join(maybe_broadcast(wanted), "rid", "left_semi")
-    sets = ws.table(chosen.mapInArrow(whole_sets(width), "rid long, hashes binary"))
-    ws.drop(wanted, *([] if rid else [texts]))
-    roots = linked_roots(ws, sets, members, classes, percent)
+    ws.drop(shared)
+    roots = linked_roots(ws, texts, members, classes, width, percent)
+    ws.drop(members)
 
-    roots = rows.where("n > 0").select("rid", "doc_id", "d1", "d2").join(classes.select("d1", "d2", "c"), ["d1", "d2"]).join(roots, F.col("c") == F.col("v"), "left").select("rid", "doc_id", F.coalesce("root", "c").alias("root"))
+    roots = slim.where("n > 0").join(classes.select("d1", "d2", "c"), ["d1", "d2"]).join(roots, F.col("c") == F.col("v"), "left").select("rid", "doc_id", F.coalesce("root", "c").alias("root"))
     roots = ws.table(roots)
-    least = ws.table(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    placed = roots.join(least, "root").select("rid", "root", "component_id")
-    return rows.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(placed, "rid", "left").select(
+    least_ids = ws.table(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    ws.drop(classes)
+    placed = roots.join(least_ids, "root").select("rid", "root", "component_id")
+    return slim.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(placed, "rid", "left").select(
         "rid", "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rid").alias("root")
     )
 
@@ -234,22 +292,35 @@ BLOCK = 4096  # documents of a group that one task compares with each other, or
 
 
 def close_pairs(percent: int, partners: int | None):
-    """Rows of groups in order (key, bi, bj, block, c, root, n, s0..s7) → pairs (a, b) that may be linked, of different components."""
-    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
+    """Rows of groups in order (key, bi, bj, block, c, root, lead, n, s0..s7, wide) → pairs (a, b) that may be linked, of different components."""
+
+    def most(total: np.ndarray) -> np.ndarray:
+        return total - 2 * -(-percent * total // (100 + percent))
 
     def pairs(g: dict[str, np.ndarray]) -> list[np.ndarray]:
         c, root, n, block, s = g["c"], g["root"], g["n"], g["block"], g["s"]
         m, out = len(c), []
         inside = g["bi"][0] == g["bj"][0]
-        free = c != g["lead"]  # the pairs with the leader are tested
-        for i in range(0, m, 256):
-            e = slice(i, min(m, i + 256))
-            h = np.bitwise_count((s[e, None] ^ s[None]).view(U)).sum(2, dtype=np.int64)  # of signed words it would count the absolute value's bits
+        free = c != g["lead"][0]  # the pairs with the leader are tested
+        wide = folded(g["wide"].tolist())
+        for i in range(0, m, 64):
+            e = slice(i, min(m, i + 64))
             total = n[e, None] + n[None]
             small = 100 * np.minimum(n[e, None], n[None]) >= percent * np.maximum(n[e, None], n[None])
-            ok = (h <= total - 2 * -(-percent * total // (100 + percent))) & small & (root[e, None] != root[None]) & free[e, None] & free[None]
+            ok = small & (root[e, None] != root[None]) & free[e, None] & free[None]
             if not inside:
                 ok &= block[e, None] != block[None]
+            h = np.zeros(ok.shape, np.int64)
+            for w in range(s.shape[1]):  # of signed words the absolute value's bits would be counted
+                h += np.bitwise_count(s[e, None, w] ^ s[None, :, w])
+            ok &= h <= most(total)
+            if wide is not None:
+                x, y = np.nonzero(ok)
+                for at in range(0, len(x), 4096):
+                    u, v = x[at : at + 4096], y[at : at + 4096]
+                    far = np.bitwise_count(wide[i + u] ^ wide[v]).sum(1, dtype=np.int64)
+                    h[u, v] = far
+                    ok[u, v] = far <= most(total[u, v])
             if partners is None:
                 x, y = np.nonzero(ok & (c[e, None] > c[None]))
             else:
@@ -267,16 +338,17 @@ def close_pairs(percent: int, partners: int | None):
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         got = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "bi", "bj", "block", "c", "root", "n", "lead")}
-        return got | {"s": np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in sketch], 1)}
+        wide = np.empty(batch.num_rows, object)
+        wide[:] = batch.column("wide").to_pylist()
+        return got | {"s": np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in SKETCH], 1).view(U), "wide": wide}
 
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
 
-        def flush(last: dict[str, np.ndarray] | None):
-            parts = [*held, *([last] if last is not None else [])]
-            g = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        def flush() -> list[np.ndarray]:
+            g = {k: np.concatenate([p[k] for p in held]) for k in held[0]}
             held.clear()
-            return pairs(g | {"lead": g["lead"][0]}) if len(g["c"]) > 2 or g["bi"][0] != g["bj"][0] else []
+            return pairs(g) if len(g["c"]) > 1 else []
 
         for batch in batches:
             t, found = columns(batch), []
@@ -285,47 +357,56 @@ def close_pairs(percent: int, partners: int | None):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = {k: v[a:b] for k, v in t.items()}
                 if held and (held[0]["key"][0], held[0]["bi"][0], held[0]["bj"][0]) != (part["key"][0], part["bi"][0], part["bj"][0]):
-                    found += flush(None)
-                held.append(part)
+                    found += flush()
+                if b > a:
+                    held.append(part)
             if found:
                 found = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
         if held:
-            for p in flush(None):
+            for p in flush():
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
     return run
 
 
-def linked_roots(ws: Workspace, sets: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def linked_roots(ws: Workspace, texts: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(v, root) of the classes whose component has a smaller one; each link that joins two components is verified."""
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of a written table of pairs: only sets that are in a pair are made."""
+        wanted = ws.table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+        sets = ws.table(texts.select("rid", "text").join(maybe_broadcast(wanted), "rid", "left_semi").mapInArrow(whole_sets(width), "rid long, hashes binary"))
         first = pairs.join(sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y")), "b")
         both = first.join(sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x")), "a")
-        return ws.table(both.select("a", "b", "x", "y").mapInArrow(verified(percent), "a long, b long, linked boolean"))
+        tested = ws.table(both.select("a", "b", "x", "y").mapInArrow(verified(percent), "a long, b long, linked boolean"))
+        ws.drop(wanted, sets)
+        return tested
 
     lead = ws.table(members.groupBy("key").agg(F.min("c").alias("lead"), F.count(F.lit(1)).alias("m")))
-    stars = members.join(lead, "key").where("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
-    described = classes.select("c", "n", *(f"s{i}" for i in range(SKETCH_WORDS)))
-    stars = stars.join(described.alias("p"), F.col("a") == F.col("p.c")).join(described.alias("q"), F.col("b") == F.col("q.c")).where(fits(percent)).select("a", "b")
-    tested = verify(ws.table(stars))
-    links = tested.where("linked").select("a", "b")
-    roots = components(ws, links)
+    stars = ws.table(members.join(lead, "key").where("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct())
+    described = classes.select("c", "n", *SKETCH, "wide")
+    near = ws.table(stars.join(described.drop("wide").alias("p"), F.col("a") == F.col("p.c")).join(described.drop("wide").alias("q"), F.col("b") == F.col("q.c")).where(fits(percent)).select("a", "b"))
+    ws.drop(stars)
+    tested = verify(near)
+    ws.drop(near)
+    roots = components(ws, tested.where("linked").select("a", "b"))
     for partners in (1, 16, None):
         at = members.join(roots, F.col("c") == F.col("v"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
         mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        blocks = lead.where("m > 2").join(mixed, "key").select("key", "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+        blocks = ws.table(lead.where("m > 2").join(mixed, "key").select("key", "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
         rows = at.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
         rows = rows.select("key", F.least("block", "j").alias("bi"), F.greatest("block", "j").alias("bj"), "block", "c", "root", "lead").distinct()
         rows = rows.join(described, "c").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         near = rows.mapInArrow(close_pairs(percent, partners), "a long, b long").distinct()
         near = ws.table(near.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if near.isEmpty():
+        ws.drop(blocks)
+        if ws.is_empty(near):
             continue
         more = verify(near)
-        tested = ws.table(tested.unionByName(more))
-        if not more.where("linked").isEmpty():
-            links = tested.where("linked").select("a", "b")
-            roots = components(ws, links)
+        before, tested = tested, ws.table(tested.unionByName(more))
+        linked = not ws.is_empty(more.where("linked"))
+        ws.drop(near, before, more)
+        if linked:
+            roots = components(ws, tested.where("linked").select("a", "b"))
     return roots
