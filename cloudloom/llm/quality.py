@@ -2,9 +2,11 @@
 
 Each text's histogram of character classes and of common words is compared to its language's reference by the
 Jensen-Shannon distance (base 2, 0 to 1). References come from all rows of the corpus: for each language and class the
-exact median of the texts' shares (so that junk moves little, even a third of all rows), and the ``common`` words that most
-texts of the language hold. Short texts are noisy: below ``min_chars`` letters and below ``min_words`` words the
-comparisons are not made (the guards), and the base rules alone decide.
+median of the texts' shares, each share rounded to 1/``STEPS`` (so that junk moves little, even a third of all rows), and the
+``COMMON`` words that most texts of the language hold. Short texts are noisy: below ``CLASS_CHARS`` characters and below
+``COMPARED_WORDS`` words the comparisons are not made (the guards), and the base rules alone decide.
+
+Two passes over the texts: one counts words and rounded shares, the other measures and judges each text where it lies.
 
 Base: too few words, or too many words in repeated windows of eight words.
 
@@ -15,6 +17,8 @@ columns besides ``doc_id, text, lang`` are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import _text as T
-from cloudloom.llm._common import Workspace, is_small, maybe_broadcast, row_id
+from cloudloom.llm._common import Workspace, is_small
 
 CLASSES = ("lower", "upper", "digit", "stop", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
@@ -74,38 +78,16 @@ def class_counts(words: pa.Array) -> np.ndarray:
     return np.stack([*parts, every - sum(parts), every], axis=1)
 
 
-def described(references: dict[str | None, dict[str, int]]):
-    """(rid, doc_id, lang, text) → base counts, class shares and word distance."""
-
-    def run(batches):
-        measure = word_divergence(references)
-        for batch in T.slices(batches):
-            yield describe(batch, measure)
-
-    return run
-
-
-def describe(batch: pa.RecordBatch, measure) -> pa.RecordBatch:
-    texts = T.texts_of(batch)
-    offsets, words = T.split_words(texts)
+def counts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Offsets, codes and vocabulary of a batch's words; the characters of each class by text."""
+    offsets, words = T.split_words(T.texts_of(batch))
     codes, vocabulary = T.coded(words)
-    h = T.hashes(vocabulary)[codes] if len(words) else np.empty(0, np.uint64)
     doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
     per_word = class_counts(vocabulary)
-    counts = np.stack([np.bincount(doc, per_word[codes, i], batch.num_rows).astype(np.int64) for i in range(len(CLASSES) + 1)], axis=1)
-    # a line is equal to an earlier one only if its words are; most texts have one line or none such
-    lines = [repeated_lines(t) if "\n" in t else 0 for t in texts.to_pylist()]
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("rid"), batch.column("doc_id"), batch.column("lang"), pa.array(np.diff(offsets)), pa.array(counts[:, -1]), pa.array(counts[:, CLASSES.index("symbol")]),
-            pa.array(lines, pa.int64()), pa.array(repeated_words(offsets, h)), *(pa.array(counts[:, i]) for i in range(len(CLASSES))),
-            pa.array(measure(batch.column("lang").to_pylist(), offsets, codes, vocabulary)),
-        ],
-        ["rid", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *CLASSES, "word_distance"],
-    )
+    return offsets, codes, vocabulary, np.stack([np.bincount(doc, per_word[codes, i], batch.num_rows).astype(np.int64) for i in range(len(CLASSES) + 1)], axis=1)
 
 
-BASE = "rid long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 MARKS = ".,;:!?'\"()-" + SYMBOLS
 
 
@@ -114,24 +96,29 @@ def plain(words: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.utf8_lower(words), characters=MARKS)
 
 
-def text_frequencies(batches):
-    """(lang, text) → (lang, word, texts): in how many texts of a batch each word is."""
+def frequencies(batches):
+    """(lang, text) → (lang, class, key, n): texts of a batch that hold word ``key`` (class -1), or whose share of a class rounds to step ``key``."""
     for batch in T.slices(batches):
-        offsets, words = T.split_words(T.texts_of(batch))
-        if not len(words):
-            continue
-        codes, vocabulary = T.coded(words)
-        again, names = T.coded(plain(vocabulary))
-        codes = again[codes]
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        pairs = np.unique(doc * len(names) + codes)
+        offsets, codes, vocabulary, counts = counts_of(batch)
         langs = batch.column("lang").dictionary_encode(null_encoding="encode")  # a null is a language of its own
         lang_codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        both, n = np.unique(lang_codes[pairs // len(names)] * len(names) + pairs % len(names), return_counts=True)
-        word = names.take(pa.array(both % len(names)))
-        langs_of = langs.dictionary.take(pa.array(both // len(names))).cast(pa.string())
-        out = pa.RecordBatch.from_arrays([langs_of, word.cast(pa.string()), pa.array(n)], ["lang", "word", "texts"])
-        yield out.filter(pc.not_equal(word, ""))
+        again, names = T.coded(plain(vocabulary))
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        width = max(1, len(names))
+        pairs = np.unique(doc * width + again[codes]) if len(codes) else np.empty(0, np.int64)
+        both, n = np.unique(lang_codes[pairs // width] * width + pairs % width, return_counts=True)
+        word = names.take(pa.array(both % width)).cast(pa.string())
+        parts = [(both // width, np.full(len(both), -1), word, n)]
+        full = np.flatnonzero(counts[:, -1] > 0)
+        mass = counts[full, -1]
+        for i in range(len(CLASSES)):
+            step = (2 * STEPS * counts[full, i] + mass) // (2 * mass)
+            both, n = np.unique(lang_codes[full] * (STEPS + 1) + step, return_counts=True)
+            parts.append((both // (STEPS + 1), np.full(len(both), i), pa.array(both % (STEPS + 1)).cast(pa.string()), n))
+        lang, kind, n = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 3))
+        key = pa.concat_arrays([p[2] for p in parts])
+        out = pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)).cast(pa.string()), pa.array(kind, pa.int32()), key, pa.array(n)], ["lang", "class", "key", "n"])
+        yield out.filter(pc.not_equal(key, ""))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -142,38 +129,52 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
         right = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
-    return np.sqrt(np.clip((left + right) / 2, 0, 1))
+    return np.round(np.sqrt(np.clip((left + right) / 2, 0, 1)), 12)  # whatever the order of the sums
+
+
+@dataclass
+class Reference:
+    """What a language's texts are held against: the median share of each class (all 0 if unknown), its common words and their counts."""
 
+    shares: np.ndarray
+    words: dict[str, int]
 
-def class_references(rows: DataFrame) -> DataFrame:
-    """(lang, class, share): exact medians, from counts of shares in steps of 1/1000."""
-    mass = sum((F.col(c) for c in CLASSES), F.lit(0))
-    shares = F.array(*[F.struct(F.lit(i).alias("class"), F.round(STEPS * F.col(c) / mass).cast("int").alias("step")) for i, c in enumerate(CLASSES)])
-    counts = rows.where(mass > 0).select("lang", F.explode(shares).alias("s")).groupBy("lang", "s.class", "s.step").agg(F.count(F.lit(1)).alias("n"))
-    below = F.expr("sum(n) over (partition by lang, class order by step)")
-    every = F.expr("sum(n) over (partition by lang, class)")
-    return counts.select("lang", "class", "step", below.alias("below"), every.alias("every")).where("2 * below >= every").groupBy("lang", "class").agg((F.min("step") / F.lit(STEPS)).alias("share"))
 
+def reference_rows(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """(lang, class, key, n): of each language the ``COMMON`` commonest words (class -1), and the median step of each class."""
+    counts = ws.table(docs.select("lang", "text").mapInArrow(frequencies, "lang string, class int, key string, n long").groupBy("lang", "class", "key").agg(F.sum("n").alias("n")))
+    place = F.expr("row_number() over (partition by lang order by n desc, key)")
+    words = counts.where("class < 0").withColumn("place", place).where(F.col("place") <= COMMON).select("lang", "class", "key", "n")
+    steps = counts.where("class >= 0").select("lang", "class", F.col("key").cast("int").alias("step"), "n")
+    below, every = F.expr("sum(n) over (partition by lang, class order by step)"), F.expr("sum(n) over (partition by lang, class)")
+    steps = steps.withColumns({"below": below, "every": every}).where("2 * below >= every").groupBy("lang", "class").agg(F.min("step").alias("step"))
+    rows = ws.table(words.union(steps.select("lang", "class", F.col("step").cast("string"), F.lit(0).cast("long"))))
+    ws.drop(counts)
+    return rows
 
-def word_references(ws: Workspace, docs: DataFrame, common: int) -> DataFrame:
-    """(lang, word, texts): the words that most texts of a language hold."""
-    counts = docs.mapInArrow(text_frequencies, "lang string, word string, texts long").groupBy("lang", "word").agg(F.sum("texts").alias("texts"))
-    # a first cut within each partition keeps the window small
-    place = F.expr("row_number() over (partition by lang order by texts desc, word)")
-    return counts.withColumn("place", place).where(F.col("place") <= common).select("lang", "word", "texts")
 
+def reference(rows) -> Reference:
+    """Of a language's (class, key, n)."""
+    shares, words = np.zeros(len(CLASSES)), {}
+    for kind, key, n in rows:
+        if kind < 0:
+            words[key] = n
+        else:
+            shares[kind] = int(key) / STEPS
+    return Reference(shares, words)
 
-def word_divergence(references: dict[str | None, dict[str, int]]):
+
+def word_divergence(references: dict[str | None, Reference]):
     """(languages, offsets, codes, vocabulary) of texts → their word distances."""
     index: dict[str, int] = {}
-    for table in references.values():
-        for w in table:
+    for r in references.values():
+        for w in r.words:
             index.setdefault(w, len(index))
     known = pa.array(list(index), pa.large_string())
     langs = {lang: i for i, lang in enumerate(references)}
     weights = np.zeros((len(references) + 1, len(index)))
-    for lang, table in references.items():
-        for w, n in table.items():
+    for lang, r in references.items():
+        for w, n in r.words.items():
             weights[langs[lang], index[w]] = n
 
     def measure(of: list[str | None], offsets: np.ndarray, codes: np.ndarray, vocabulary: pa.Array) -> np.ndarray:
@@ -194,45 +195,58 @@ def word_divergence(references: dict[str | None, dict[str, int]]):
     return measure
 
 
-def judge(ws: Workspace, docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, rid: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: rid (from the column named so, if it is given), doc_id, base counts, base_failed, class_distance, word_distance, kept."""
-    texts = docs.select((F.col(rid) if rid else row_id()).alias("rid"), "doc_id", "lang", "text")
-    common = ws.table(word_references(ws, docs.select("lang", "text"), COMMON))
-    kind = BASE + ", " + ", ".join(f"{c} long" for c in CLASSES) + ", word_distance double"
-    if is_small(common, 64 * 1000):  # a thousand languages
-        references: dict[str | None, dict[str, int]] = {}
-        for r in common.collect():
-            references.setdefault(r["lang"], {})[r["word"]] = r["texts"]
-        rows = texts.mapInArrow(described(references), kind)
-    else:
-        rows = by_language(texts, common, kind)
-    rows = ws.table(rows)  # numbers and all that is known of a text come from one scan
-    shares = class_references(rows).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "share"))).alias("shares"))
-    shares = maybe_broadcast(ws.table(shares), 10_000)
-    judged = rows.join(shares.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    mass = sum((F.col(c) for c in CLASSES), F.lit(0))
-    own = F.transform(F.array(*CLASSES), lambda x: x / F.greatest(mass, F.lit(1)))
-    reference = F.array(*[F.coalesce(F.col("shares")[F.lit(i)], F.lit(0.0)) for i in range(len(CLASSES))])
-    add = lambda a, x: a + x
-    judged = judged.withColumns({"_own": own, "_ref": reference}).withColumn("_all", F.aggregate("_ref", F.lit(0.0), add))
-    term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    parts = F.zip_with("_own", F.transform("_ref", lambda r: r / F.when(F.col("_all") > 0, F.col("_all")).otherwise(1.0)), lambda p, q: term(p, (p + q) / 2) + term(q, (p + q) / 2))
-    total = F.aggregate(parts, F.lit(0.0), add)
-    class_distance = F.when((mass > 0) & (F.col("_all") > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0)))).otherwise(0.0)
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    far = ((mass >= CLASS_CHARS) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= COMPARED_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > max_word))
-    return judged.withColumn("class_distance", class_distance).select(
-        "rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"), "class_distance", "word_distance"
-    )
-
-
-def by_language(texts: DataFrame, common: DataFrame, kind: str) -> DataFrame:
-    """As ``described`` where languages are too many to hold at once: references come by a join."""
-    tables = common.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "texts"))).alias("table")).withColumnRenamed("lang", "_lang")
+def describe(batch: pa.RecordBatch, references: dict[str | None, Reference], measure, max_class: float, max_word: float) -> list[pa.Array]:
+    """The columns of ``BASE``."""
+    texts = T.texts_of(batch)
+    offsets, codes, vocabulary, counts = counts_of(batch)
+    h = T.hashes(vocabulary)[codes] if len(codes) else np.empty(0, np.uint64)
+    langs = batch.column("lang").to_pylist()
+    # a line is equal to an earlier one only if its words are; most texts have one line or none such
+    lines = [repeated_lines(t) if "\n" in t else 0 for t in texts.to_pylist()]
+    n_words, repeats = np.diff(offsets), repeated_words(offsets, h)
+    unknown = np.zeros(len(CLASSES))
+    medians = np.array([references[x].shares if x in references else unknown for x in langs]).reshape(len(langs), -1)
+    class_distance = np.where((counts[:, -1] > 0) & (medians.sum(1) > 0), distance(counts[:, :-1].astype(float), medians), 0.0)
+    word_distance = measure(langs, offsets, codes, vocabulary)
+    failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEATED * n_words)
+    far = ((counts[:, -1] >= CLASS_CHARS) & (class_distance > max_class)) | ((n_words >= COMPARED_WORDS) & (word_distance > max_word))
+    return [pa.array(x) for x in (n_words, counts[:, -1], counts[:, CLASSES.index("symbol")], np.array(lines, np.int64), repeats, failed, ~failed & ~far, class_distance, word_distance)]
+
+
+def judged(references: dict[str | None, Reference] | None, carried: list[str], max_class: float, max_word: float):
+    """(carried columns, text, lang[, _reference]) → carried columns and ``BASE``; without references, each row brings its language's."""
+    names = [*carried, *(x.split()[0] for x in BASE.split(", "))]
 
     def run(batches):
+        known = references
+        measure = word_divergence(known) if known is not None else None
         for batch in T.slices(batches):
-            for i, (lang, table) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("table").to_pylist(), strict=True)):
-                yield describe(batch.slice(i, 1), word_divergence({lang: dict(table or [])}))
+            if references is None:
+                known = {}
+                for lang, rows in zip(batch.column("lang").to_pylist(), batch.column("_reference"), strict=True):
+                    if lang not in known:
+                        known[lang] = reference((r["class"], r["key"], r["n"]) for r in rows.as_py() or [])
+                measure = word_divergence(known)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *describe(batch, known, measure, max_class, max_word)], names)
+
+    return run
+
 
-    return texts.join(tables, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("rid", "doc_id", "lang", "text", "table").mapInArrow(run, kind)
+def judge(ws: Workspace, docs: DataFrame, *carried: str, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, languages: int = 1000) -> DataFrame:
+    """One row per row of ``docs``: the carried columns (doc_id if none is named), base counts, base_failed, kept, class_distance, word_distance.
+
+    References of at most ``languages`` languages are held by each task; those of more come with the rows, by a join. Both give the
+    same results.
+    """
+    carried = carried or ("doc_id",)
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], *[c for c in ("text", "lang") if c not in carried])
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carried)]) + ", " + BASE
+    found = reference_rows(ws, docs)
+    if is_small(found, languages * (COMMON + len(CLASSES))):
+        by_lang: dict[str | None, list[tuple]] = {}
+        for r in found.collect():
+            by_lang.setdefault(r["lang"], []).append((r["class"], r["key"], r["n"]))
+        return rows.mapInArrow(judged({k: reference(v) for k, v in by_lang.items()}, list(carried), max_class, max_word), kind)
+    tables = found.groupBy(F.col("lang").alias("_of")).agg(F.collect_list(F.struct("class", "key", "n")).alias("_reference"))  # at most 70 rows a language
+    joined = rows.join(ws.table(tables), F.col("lang").eqNullSafe(F.col("_of")), "left").drop("_of")
+    return joined.mapInArrow(judged(None, list(carried), max_class, max_word), kind)
