@@ -21,7 +21,6 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark)
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,7 +29,7 @@ def op3_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(Workspace(spark), documents(spark, sf_dir)).drop("rid")
+    return quality.judge(Workspace(spark), documents(spark, sf_dir))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Operator 2, toxic spans by a linear-chain conditional random field.
 
 * Labelled tokens: a word, or a stem of 3 to 7 letters, is a marker if far more of the texts labelled toxic hold it than of
-  others (counts over all training rows, a smoothed ratio). Tokens of toxic texts with a marker have label 1.
+  others: the smoothed ratio is at least ``ratio``, and so many toxic texts by chance are less likely than ``chance``. Texts are
+  counted on at most ``max_counted`` training rows of each label, in the order of a hash. Tokens of toxic texts with a marker
+  have label 1.
 * The field: two labels, weights for each marker, for markers in the token before and after, for the token's shape, and for
-  label pairs; trained by gradient ascent (Adam) on the penalised likelihood of a bounded sample: at most ``max_rows`` texts of
-  each label, in the order of a hash, of each its first ``max_chars`` characters, and of them at most ``max_sentences`` sentences
-  with markers and as many without.
+  label pairs; trained by gradient ascent (Adam) on the penalised likelihood of all sentences of at most ``max_rows`` whole texts of
+  each label. Sentences that look alike to the field are counted together, so the driver holds kinds of sentences, not texts.
 * Scores: forward-backward marginals of every token of every whole text, sentence by sentence (long ones in runs of
   ``LONGEST`` tokens). Largest marginal, their sum and their share make the text's score by a logistic model, fitted on the texts
   of the sample; runs of tokens with a marginal of half or more are the spans, as character offsets.
 
-Training uses only rows whose crc32(doc_id as text) mod 3 is not 1.
+Training uses only rows whose crc32(doc_id as text) mod 3 is not 1; both bounds are on labelled rows, and every text is read whole.
 
 Defined cases: a null or empty text has no token and gets the score of a text without toxic tokens, and no spans; a null
 doc_id isn't trained on and counts as not held out; repeated rows are scored alike; without labels of both kinds every score
@@ -19,7 +20,9 @@ is 0; an empty table gives an empty result; columns besides ``doc_id, text`` are
 
 from __future__ import annotations
 
+import collections
 import re
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import _text as T
-from cloudloom.llm._common import is_small
+from cloudloom.llm._common import Workspace, maybe_broadcast
 
 LONGEST = 64
 THRESHOLD = 0.7
@@ -130,8 +133,8 @@ def marginals(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.nda
     return out
 
 
-def pair_expectations(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected counts of neighbouring labels, from marginals and the edges' local odds."""
+def pair_expectations(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray, p: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Expected counts of neighbouring labels, from marginals and the edges' local odds; ``weight`` says how often each token is there."""
     n = len(unary)
     inner = np.ones(n, bool)
     inner[first] = False
@@ -147,7 +150,8 @@ def pair_expectations(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray, p
         s = 1 + (ratio - 1) * (a + b)
         both = (s - np.sqrt(np.maximum(s * s - 4 * ratio * (ratio - 1) * a * b, 0))) / (2 * (ratio - 1))
     both = np.clip(both, 0, np.minimum(a, b))
-    return np.array([[(1 - a - b + both).sum(), (b - both).sum()], [(a - both).sum(), both.sum()]])
+    w = np.ones(len(j)) if weight is None else weight[j]
+    return np.array([[(w * (1 - a - b + both)).sum(), (w * (b - both)).sum()], [(w * (a - both)).sum(), (w * both).sum()]])
 
 
 def tokens(texts: pa.Array):
@@ -205,87 +209,164 @@ def counted(index: dict[str, int] | None):
     return run
 
 
-def markers(train: DataFrame, least: int = 3, share: int = 50, ratio: float = 20.0, most: int = 50_000) -> dict[str, float]:
-    """Forms that at least a 50th of the toxic training texts hold, and far fewer of the others. Counts over all training rows."""
+def sampled(train: DataFrame, most: int) -> DataFrame:
+    """Of each label the first rows in the order of a hash of doc_id and text, ``most`` different ones."""
+    hashed = train.withColumns({"h": F.xxhash64("doc_id"), "x": F.xxhash64("text")})
+    chosen = F.lit(False)
+    for y in (0, 1):
+        own = hashed.where(F.col("toxic") == y).select(F.struct("h", "x").alias("k")).distinct()
+        last = own.orderBy("k").limit(most).agg(F.max("k").alias("k")).select("k.h", "k.x").first()
+        if last["h"] is not None:
+            upto = (F.col("h") < F.lit(last["h"])) | ((F.col("h") == F.lit(last["h"])) & (F.col("x") <= F.lit(last["x"])))
+            chosen = chosen | ((F.col("toxic") == y) & upto)
+    return hashed.where(chosen)
+
+
+def markers(train: DataFrame, least: int = 3, ratio: float = 20.0, chance: float = 1e-4) -> dict[str, float]:
+    """Forms that far more of the toxic texts hold than of the others; the rows of ``train`` bound their number."""
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}  # two rows
     if not n.get(1) or not n.get(0):
         return {}
     kind = "form string, texts long"
     bad = train.where("toxic = 1").select("text").mapInArrow(counted(None), kind).groupBy("form").agg(F.sum("texts").alias("n"))
-    bad = {r["form"]: r["n"] for r in bad.where(F.col("n") >= max(least, n[1] // share)).orderBy(F.desc("n"), "form").limit(most).collect()}
+    share = n[1] / (n[0] + n[1])
+
+    def odds(b: int, g: int) -> float:
+        return float(np.log((b + 0.5) / (n[1] + 1)) - np.log((g + 0.5) / (n[0] + 1)))
+
+    def passes(b: int, g: int) -> bool:
+        """By Chernoff's bound on so many toxic ones among texts dealt by chance."""
+        q = b / (b + g)
+        divergence = q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if g else 0.0)
+        return odds(b, g) >= np.log(ratio) and q > share and (b + g) * divergence >= -np.log(chance)
+
+    # even without a clean text that holds it, a form needs so many toxic ones
+    while least < n[1] and not passes(least, 0):
+        least += 1
+    bad = {r["form"]: r["n"] for r in bad.where(F.col("n") >= least).collect()}
     good = train.where("toxic = 0").select("text").mapInArrow(counted(dict.fromkeys(bad, 0)), kind).groupBy("form").agg(F.sum("texts").alias("n"))
-    good = {r["form"]: r["n"] for r in good.collect()}  # at most ``most`` rows
-    odds = {f: np.log((b + 0.5) / (n[1] + 1)) - np.log((good.get(f, 0) + 0.5) / (n[0] + 1)) for f, b in bad.items()}
-    return {f: float(x) for f, x in odds.items() if x >= np.log(ratio)}
+    good = {r["form"]: r["n"] for r in good.collect()}  # no other forms than those of ``bad``
+    return {f: odds(b, good.get(f, 0)) for f, b in sorted(bad.items()) if passes(b, good.get(f, 0))}
+
+
+def chains(marks: list[str]):
+    """(toxic, text) → (toxic, chain, n): the sentences of a batch as the field sees them, each token as its shape and its markers."""
+    index = {f: i for i, f in enumerate(marks)}
+
+    def run(batches):
+        for batch in T.slices(batches):
+            offsets, _, codes, names, shapes, stops = tokens(T.texts_of(batch))
+            if not len(codes):
+                continue
+            first = runs_of(offsets, stops[codes])
+            table = marker_table(names, index)
+            seen = [struct.pack(f"<{len(m) + 1}i", int(s) + 8 * len(m), *m) for m, s in zip(([int(x) for x in row if x < len(index)] for row in table[:-1]), shapes, strict=True)]
+            labels = np.repeat(batch.column("toxic").to_numpy(), np.diff(offsets))[first].tolist()
+            found: collections.Counter = collections.Counter()
+            ends = [*first[1:].tolist(), len(codes)]
+            listed = codes.tolist()
+            for y, a, b in zip(labels, first.tolist(), ends, strict=True):
+                found[y, b"".join([seen[c] for c in listed[a:b]])] += 1
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64())], ["toxic", "chain", "n"])
+
+    return run
 
 
-def train_field(rows: list[tuple[str, int]], marks: dict[str, float], steps: int = 150, rate: float = 0.15, penalty: float = 1.0, max_sentences: int = 40) -> Field:
-    """Fits the field and the score's model on a bounded sample of texts."""
+def read_chains(rows: list[tuple[int, bytes, int]], n_markers: int) -> tuple[np.ndarray, ...]:
+    """Of all kinds of sentences: markers (a row for each token, filled up with ``n_markers``), shapes, labels, first tokens, how often."""
+    table, shapes, labels, starts = [], [], [], []
+    width = 1 + len(STEMS)
+    for y, raw, _ in rows:
+        starts.append(len(table))
+        x = struct.unpack(f"<{len(raw) // 4}i", raw)
+        at = 0
+        while at < len(x):
+            k, shape_of = divmod(x[at], 8)
+            own = x[at + 1 : at + 1 + k]
+            table.append((*own, *[n_markers] * (width - k)))
+            shapes.append(shape_of)
+            labels.append(float(y == 1 and k > 0))
+            at += 1 + k
+    return np.array(table, np.int64).reshape(-1, width), np.array(shapes, np.int64), np.array(labels), np.array(starts, np.int64), np.array([n for *_, n in rows], float)
+
+
+def train_field(rows: list[tuple[int, bytes, int]], marks: list[str], steps: int = 150, rate: float = 0.15, penalty: float = 1.0) -> Field:
+    """Fits the field to (label of the text, sentence, how often)."""
     model = Field()
-    if not marks or len({y for _, y in rows}) < 2:
+    if not marks or len({y for y, *_ in rows}) < 2:
         return model
-    texts = pa.array([x for x, _ in rows], pa.large_string())
-    y = np.array([y for _, y in rows])
-    offsets, _, codes, names, shapes, stops = tokens(texts)
-    first = runs_of(offsets, stops[codes])
-    doc = np.repeat(np.arange(len(rows)), np.diff(offsets))
-    index = {f: i for i, f in enumerate(marks)}
-    table = marker_table(names, index)
-    marker = (table < len(index)).any(1)
-    marked = marker[codes] & (y[doc] == 1)
-    # chains with a marker, and as many others of each text
-    bounds = np.concatenate([first, [len(codes)]])
-    has = np.add.reduceat(marked, first) > 0
-    owner = doc[first]
-    chosen = np.zeros(len(first), bool)
-    for kind in (has, ~has):
-        at = np.flatnonzero(kind)
-        begin = np.searchsorted(owner[at], owner[at])
-        chosen[at[np.arange(len(at)) - begin < max_sentences]] = True
-    lengths = np.diff(bounds)
-    take = np.repeat(chosen, lengths)
-    tok, label = codes[take], marked[take].astype(float)
-    starts = np.concatenate([[0], np.cumsum(lengths[chosen])[:-1]])
-    n, v = len(tok), len(names)
-    prev = np.concatenate([[v], tok[:-1]])
-    prev[starts] = v
-    nxt = np.concatenate([tok[1:], [v]])
-    nxt[np.concatenate([starts[1:], [n]]) - 1] = v
-    theta = {"own": np.zeros(len(index) + 1), "near": np.zeros(2), "shape": np.zeros(8), "bias": np.array([-3.0]), "pairs": np.zeros((2, 2))}
+    table, shape_of, label, starts, often = read_chains(rows, len(marks))
+    n = len(label)
+    weight = np.repeat(often, np.diff(np.concatenate([starts, [n]])))
+    marker = (table < len(marks)).any(1)
+    begin = np.zeros(n, bool)
+    begin[starts] = True
+    near = np.zeros((n, 2))
+    near[1:, 0] = marker[:-1] & ~begin[1:]
+    near[:-1, 1] = marker[1:] & ~begin[1:]
+    theta = {"own": np.zeros(len(marks) + 1), "near": np.zeros(2), "shape": np.zeros(8), "bias": np.array([-3.0]), "pairs": np.zeros((2, 2))}
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in theta.items()}
-    inner = np.ones(n, bool)
-    inner[starts] = False
-    j = np.flatnonzero(inner)
-    a, b = label[j - 1], label[j]
-    seen = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
-    shape_of, rows_of = shapes[tok], table[tok]
-    near = np.stack([marker[prev], marker[nxt]], axis=1).astype(float)
+    j = np.flatnonzero(~begin)
+    a, b, w = label[j - 1], label[j], weight[j]
+    seen = np.array([[(w * (1 - a) * (1 - b)).sum(), (w * (1 - a) * b).sum()], [(w * a * (1 - b)).sum(), (w * a * b).sum()]])
+    total = weight.sum()
     for step in range(1, steps + 1):
-        unary = theta["own"][rows_of].sum(1) + near @ theta["near"] + theta["shape"][shape_of] + theta["bias"][0]
+        unary = theta["own"][table].sum(1) + near @ theta["near"] + theta["shape"][shape_of] + theta["bias"][0]
         p = marginals(unary, starts, theta["pairs"])
-        r = label - p
+        r = weight * (label - p)
         gradient = {
-            "own": np.bincount(rows_of.ravel(), np.repeat(r, rows_of.shape[1]), len(index) + 1), "near": near.T @ r, "shape": np.bincount(shape_of, r, 8), "bias": np.array([r.sum()]),
-            "pairs": seen - pair_expectations(unary, starts, theta["pairs"], p),
+            "own": np.bincount(table.ravel(), np.repeat(r, table.shape[1]), len(marks) + 1), "near": near.T @ r, "shape": np.bincount(shape_of, r, 8), "bias": np.array([r.sum()]),
+            "pairs": seen - pair_expectations(unary, starts, theta["pairs"], p, weight),
         }
         for k, g in gradient.items():
-            g = (g - penalty * theta[k] * (k != "bias")) / n
+            g = (g - penalty * theta[k] * (k != "bias")) / total
             m, q = moment[k]
             m[:] = 0.9 * m + 0.1 * g
             q[:] = 0.999 * q + 0.001 * g * g
             theta[k] = theta[k] + rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-10)
-        theta["own"][len(index)] = 0
-    model.own = {f: float(theta["own"][i]) for f, i in index.items()}
+        theta["own"][len(marks)] = 0
+    model.own = {f: float(theta["own"][i]) for i, f in enumerate(marks)}
     model.near, model.shapes, model.bias, model.pairs = theta["near"], theta["shape"], float(theta["bias"][0]), theta["pairs"]
-    # the score: logistic, by Newton steps
-    p = tag(model, offsets, codes, names, shapes, stops)[0]
-    x = features(p, offsets)
-    w = np.zeros(4)
+    return model
+
+
+def fit_score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the logistic model of the texts' features, by Newton steps."""
+    w = np.zeros(x.shape[1])
+    ridge = np.array([1e-3, 0.05, 0.05, 0.05])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 0.05, 0.05, 0.05])
-        w = w + np.linalg.solve(h, x.T @ (y - q) - np.array([1e-3, 0.05, 0.05, 0.05]) * w)
-    model.score = w
+        h = (x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge)
+        w = w + np.linalg.solve(h, x.T @ (y - q) - ridge * w)
+    return w
+
+
+def measured(model: Field):
+    """(toxic, text) → (toxic, x): the features of whole texts."""
+
+    def run(batches):
+        for batch in T.slices(batches):
+            offsets, _, codes, names, shapes, stops = tokens(T.texts_of(batch))
+            x = features(tag(model, offsets, codes, names, shapes, stops)[0], offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    return run
+
+
+def fitted(ws: Workspace, train: DataFrame, max_rows: int, max_counted: int) -> Field:
+    """The field and the score's model, from (doc_id, text, toxic)."""
+    marks = list(markers(sampled(train, max_counted).select("text", "toxic")))
+    if not marks:
+        return Field()
+    texts = ws.table(sampled(train, max_rows).dropDuplicates(["h", "x", "toxic"]).select("toxic", "text"))
+    kinds = texts.mapInArrow(chains(marks), "toxic long, chain binary, n long").groupBy("toxic", "chain").agg(F.sum("n").alias("n"))
+    model = train_field([(r["toxic"], bytes(r["chain"]), r["n"]) for r in kinds.orderBy("toxic", "chain").collect()], marks)
+    rows = texts.mapInArrow(measured(model), "toxic long, x array<double>").collect()  # two times ``max_rows`` rows of four numbers
+    rows = sorted((r["toxic"], r["x"]) for r in rows)
+    if model.own:
+        model.score = fit_score(np.array([x for _, x in rows]), np.array([y for y, _ in rows], float))
+    ws.drop(texts)
     return model
 
 
@@ -344,20 +425,10 @@ def scorer(model: Field):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, max_rows: int = 600, max_chars: int = 6000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = 600, max_counted: int = 50_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, toxic_tokens, spans."""
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")).where(~held_out())
     texts = docs.select("doc_id", "text")
-    if is_small(known, 2_000_000):
-        known = F.broadcast(known)
-    train = texts.where(~held_out()).join(known, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    marks = markers(train.select("text", "toxic"))
-    rows: list[tuple[str, int]] = []
-    if marks:
-        for y in (0, 1):
-            own = train.where(F.col("toxic") == y).withColumn("h", F.xxhash64("doc_id"))
-            last = own.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]  # the numbers alone, then these rows' texts
-            picked = own.where(F.col("h") <= F.lit(last)).select("h", F.substring("text", 1, max_chars).alias("text")).orderBy("h").limit(max_rows)
-            rows += [(r["text"], y) for r in picked.collect()]
-    model = train_field(rows, marks)
+    train = texts.where(~held_out()).join(maybe_broadcast(known, 200_000), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    model = fitted(Workspace(docs.sparkSession), train, max_rows, max_counted)
     return texts.withColumn("held_out", held_out()).mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int, toxic_tokens long, spans array<struct<start:int,end:int>>")
