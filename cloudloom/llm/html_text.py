@@ -6,9 +6,11 @@ sidebars, notices, adverts, forms, scripts, styles, reader comments) go at once;
 
 Open blocks are decided per host: their tokens, page after page, are concatenated (a separator of its own between pages), a
 suffix array is built by prefix doubling, and adjacent suffixes of different pages that share at least ``least`` tokens mark
-what they share as boilerplate. Tokens so covered go; unique runs stay. Hosts are dealt out in groups of at most
-``group_tokens`` tokens by a hash of the page, so no task holds a large host's whole stream; a passage is boilerplate if it is
-repeated in its group, which boilerplate, being on many pages, is in every group.
+what they share as boilerplate. Tokens so covered go; unique runs stay. The suffix array of a host of more than
+``group_tokens`` tokens is dealt out: suffixes that begin with the same ``least`` tokens are neighbours in it, so each such
+interval is a group by host and hash of these tokens, of which only the first and the last page are needed. A token is covered
+if an interval of two pages or more begins at most ``least`` tokens before it. Both ways mark the same tokens, and no task
+holds a large host.
 
 Text inside an ``article`` isn't cut even where another page of the host repeats it: that would drop main text, which near
 copies and quoted passages share.
@@ -30,19 +32,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import _text as T
-from cloudloom.llm._common import Workspace, maybe_broadcast, row_id
+from cloudloom.llm._common import Workspace, row_id
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe math object canvas".split())
 BANNED = frozenset("nav header footer aside form script style head title noscript template svg iframe button select option textarea dialog menu canvas object math audio video".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|breadcrumbs?|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebars?|side|widgets?|menus?|nav|navbar|navigation|"
-    r"footer|header|masthead|toolbar|share|sharing|social|related|recommended|promo\w*|sponsor\w*|login|signup|search|pagination|pager|skip|hidden|disclaimer)(?:$|[\s_-])",
-    re.I,
+# Parts of a class or an id. A name is that of a part to drop if one of its parts is bad and all others only say where or how it lies.
+BAD = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist disqus replies reply respond cookie cookies consent gdpr notice notices popup modal "
+    "newsletter subscribe subscription sidebar sidebars widget widgets menu menus nav navbar navigation footer header masthead toolbar share sharing social related recommended promo promos promotion promotions sponsor sponsored "
+    "sponsors login signup search pagination pager skip hidden disclaimer".split()
+)
+PLACE = frozenset(
+    "site page main top bottom left right side global primary secondary mobile desktop sticky fixed small large block blocks box boxes bar bars list lists item items wrap wrapper inner outer container content area zone slot unit row col "
+    "column panel section group link links button buttons btn icon icons form field thread title text label post posts article articles story stories stack js is has the id no overlay dialog message policy accept toggle".split()
+)
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
+    # a quoted value ends where white space or the tag's end follows; a tag whose quotes don't match ends at the first ">"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+|[^>]*)>",
+    re.S,
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
 SPACE = re.compile(r"\s+")
@@ -58,7 +70,13 @@ def banned(name: str, attributes: str, inside: bool) -> bool:
         return True
     if name in ("html", "body", "main", "article"):
         return False
-    return bool(BAD_NAMES.search(found.get("class", "")) or BAD_NAMES.search(found.get("id", "")))
+    return any(bad_name(x) for x in (*found.get("class", "").split(), found.get("id", "")))
+
+
+def bad_name(name: str) -> bool:
+    parts = [p for p in re.split(r"[\W\d_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+    lower = [p.lower() for p in parts]
+    return any(p in BAD for p in lower) and all(p in BAD or p in PLACE for p in lower)
 
 
 def blocks(html: str) -> list[tuple[bool, str]]:
@@ -217,16 +235,63 @@ def group_texts(least: int):
     return run
 
 
+def windows(least: int):
+    """(rid, host, open) → (host, window, rid): hashes of the windows of ``least`` tokens, each once a page."""
+
+    def run(batches):
+        for batch in batches:
+            for rid, host, page in zip(*(batch.column(c).to_pylist() for c in ("rid", "host", "open")), strict=True):
+                h = np.unique(page_windows(page, least))
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(h)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), rid))], ["host", "window", "rid"])
+
+    return run
+
+
+def page_windows(page: list[str], least: int) -> np.ndarray:
+    words = [w for b in page for w in b.split(" ")]
+    return T.window_hashes(np.array([token_hash(w) for w in words], np.uint64), np.array([0, len(words)]), least)[0]
+
+
+def cut_pages(least: int):
+    """(rid, open, shared) → (rid, found): the page without the tokens of its shared windows."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for page, shared in zip(batch.column("open").to_pylist(), batch.column("shared"), strict=True):
+                words = [w for b in page for w in b.split(" ")]
+                own = page_windows(page, least)
+                cover = np.zeros(len(words) + 1, np.int64)
+                at = np.flatnonzero(np.isin(own, shared.values.to_numpy().view(np.uint64))) if shared.is_valid and len(shared) else np.empty(0, np.int64)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + least, -1)
+                out.append(" ".join(w for w, m in zip(words, np.cumsum(cover[:-1]) > 0, strict=True) if not m))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.string())], ["rid", "found"])
+
+    return run
+
+
+def unique_of_large(ws: Workspace, waiting: DataFrame, least: int) -> DataFrame:
+    """(rid, found) of pages of hosts that are too large for one task."""
+    every = waiting.mapInArrow(windows(least), "host string, window long, rid long")
+    pages = every.groupBy("host", "window").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("host", "window")
+    shared = every.join(ws.table(pages), ["host", "window"], "left_semi").groupBy("rid").agg(F.collect_list("window").alias("shared"))  # at most a page's windows
+    return waiting.select("rid", "open").join(ws.table(shared), "rid", "left").mapInArrow(cut_pages(least), "rid long, found string")
+
+
 def extract(ws: Workspace, pages: DataFrame, least: int = 12, group_tokens: int = 200_000) -> DataFrame:
     """One row per row of ``pages``: rid, page_id, url, text, n_chars."""
     rows = ws.table(pages.select(row_id().alias("rid"), "page_id", "url", "html").mapInArrow(parsed, "rid long, page_id long, url string, host string, text string, open array<string>"))
     waiting = rows.where("text is null and size(open) > 0").select("rid", "host", "open")
-    if waiting.isEmpty():
+    if ws.is_empty(waiting):
         out = rows.withColumn("text", F.coalesce("text", F.lit("")))
     else:
-        size = F.aggregate("open", F.lit(0), lambda a, b: a + F.size(F.split(b, " ")))
-        per_host = waiting.groupBy("host").agg(F.sum(size).alias("tokens")).select("host", F.ceil(F.col("tokens") / group_tokens).alias("groups"))
-        dealt = waiting.join(maybe_broadcast(ws.table(per_host), 100_000), "host").withColumn("part", F.pmod(F.xxhash64("rid"), "groups"))
-        found = dealt.select("rid", "host", "part", "open").groupBy("host", "part").applyInPandas(group_texts(least), "rid long, found string")
+        size = F.aggregate("open", F.lit(0).cast("long"), lambda a, b: a + F.size(F.split(b, " ")))
+        per_host = ws.table(waiting.groupBy("host").agg(F.sum(size).alias("tokens")))
+        small = per_host.where(F.col("tokens") <= group_tokens).select("host")
+        large = ws.table(waiting.join(per_host.where(F.col("tokens") > group_tokens).select("host"), "host"))
+        few = waiting.join(small, "host").groupBy("host").applyInPandas(group_texts(least), "rid long, found string")
+        found = few.unionByName(unique_of_large(ws, large, least)) if not ws.is_empty(large) else few
         out = rows.join(found, "rid", "left").withColumn("text", F.coalesce("text", "found", F.lit("")))
     return out.select("rid", "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
