@@ -36,6 +36,7 @@ MAGIC = b"WVLTMX01"
 BLOCK = 1 << 16
 END_ID = 2
 SHARD_IDS = 1 << 21
+BATCH_BYTES = 12 << 20  # of texts encoded at once
 SHARDS = "part int, number int, file string, documents long, ids long"
 
 
@@ -205,7 +206,7 @@ def writer(path: str, folder: str, end_id: int, shard_ids: int):
             ends[:] = [0]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "number", "file", "documents", "ids"])
 
-        for batch in T.slices(T.gathered(batches)):
+        for batch in T.slices(T.gathered(batches, BATCH_BYTES), limit=BATCH_BYTES):
             at, ids = encode(T.texts_of(batch))
             lengths = np.diff(at)
             out = np.full(len(ids) + len(lengths), end_id, np.uint32)
