@@ -3,16 +3,19 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cloudloom.llm import _tokens, exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, warc, wavelet
+from cloudloom.llm import _text, _tokens, exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, warc, wavelet
 from cloudloom.llm._common import Workspace, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,13 +148,70 @@ def test_close_pairs_miss_no_linked_pair(percent):
     assert len(linked) == 40 and any(((s[a] ^ s[b]) < 0).any() for a, b in linked)
     n = len(sets)
     same = {k: np.zeros(n, np.int64) for k in ("key", "bi", "bj", "block")}
-    group = same | {"c": np.arange(n), "root": np.arange(n), "n": np.diff(ends), "lead": np.full(n, -1)} | {f"s{i}": s[:, i] for i in range(s.shape[1])}
+    group = same | {"c": np.arange(n), "root": np.arange(n), "n": np.diff(ends), "lead": np.full(n, -1)} | {f"s{i}": s[:, i] for i in range(s.shape[1])} | {"wide": sketch_join.wide_sketches(np.concatenate(sets), ends)}
     batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in group.items()})
     for partners in (1, None):
         found = {pair for out in sketch_join.close_pairs(percent, partners)([batch]) for pair in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
         assert linked <= found
 
 
+def test_wide_sketches_bound_the_symmetric_difference():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (600, 900, 5000)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    wide = sketch_join.folded(sketch_join.wide_sketches(np.concatenate(sets), ends))
+    for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
+        h = int(np.bitwise_count(wide[i] ^ wide[j]).sum())
+        assert 0 < h <= len(np.setxor1d(x, y))
+    assert sketch_join.folded([None, b"x" * 128]) is None and len(sketch_join.wide_sketches(sets[2], np.array([0, 5000]))[0]) == 1024
+
+
+def test_sketch_join_of_frequent_keys_and_small_blocks(spark, rows, monkeypatch):
+    """Every key dealt as a frequent one, groups of more than a block, the common key of sets that stay empty under all functions."""
+    monkeypatch.setattr(sketch_join, "FUNCTIONS", 2)
+    group = [(70_000 + i, " ".join([*prose(1, 60).split()[: 60 - i % 5], f"u{i}"])) for i in range(40)] + [(80_000 + i, f"p{i} q{i} r{i} s{i} t{i}") for i in range(12)]
+    every = rows + group
+    want = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in sketch_join.similar(Workspace(spark), table(spark, every), 4, 80).collect()}
+    sets = [shingle_set(t, 4) for _, t in every]
+    least = {}
+    roots = brute_components(sets, 80)
+    for (d, _), g in zip(every, roots, strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    assert {w[0]: w[2] for w in want if w[1]} == {d: least[g] for (d, _), g, x in zip(every, roots, sets, strict=True) if x and (d is not None or g not in least)} | ({None: least[next(g for (d, _), g, x in zip(every, roots, sets, strict=True) if d is None and x)]})
+    monkeypatch.setattr(sketch_join, "BLOCK", 3)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in sketch_join.similar(Workspace(spark), table(spark, every), 4, 80, sampled=1, least=2).collect()}
+    assert got == want
+
+
+def test_slices_of_long_texts():
+    """A batch of more than a slice: all slices' texts are whole, and their sets those of the texts alone."""
+    texts = ["É" * 40 + f" Word{i} " + prose(i, 50) for i in range(300)] + ["W\u00e9 " * 30_000, None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    seen = []
+    for part in _text.slices([batch], limit=9000):
+        h, ends = _text.shingle_sets(_text.texts_of(part), 3)
+        seen += [h[a:b].tolist() for a, b in itertools.pairwise(ends)]
+    alone = [_text.shingle_sets(pa.array([t or ""], pa.large_string()), 3)[0].tolist() for t in texts]
+    assert seen == alone
+    assert _text.texts_of(batch.slice(7, 5)).to_pylist() == texts[7:12] and _text.first_offset(_text.texts_of(batch.slice(7, 5))) == 0
+
+
+def test_sharding_cuts_less_than_the_start(spark, rows):
+    every = rows + [(30_000 + i, f"copy {i // 6}") for i in range(240)]
+    got = sharding.shard(Workspace(spark), table(spark, every), shards=7)
+    before = sharding.cut_rows(got.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(7))), "text_group").first()
+    after = sharding.cut_rows(got, "text_group").first()
+    assert after["linked"] == before["linked"] > 240 and after["cut_pairs"] == 0 < before["cut_pairs"]
+
+
+def test_exchanges_between_full_shards():
+    asks = np.array([[0, 5, 0], [3, 0, 4], [2, 0, 0]])
+    assert sharding.allowed(asks, np.array([0, 0, 0])).tolist() == [[0, 5, 0], [3, 0, 2], [2, 0, 0]]  # an exchange, then a ring
+    out = sharding.allowed(asks, np.array([0, 1, 0]))
+    assert (out <= asks).all() and out.sum() >= 10 and all(out[:, t].sum() - out[t].sum() <= [0, 1, 0][t] for t in range(3))
+
+
 def test_sharding(spark, rows):
     rows = rows + [(20_000 + i, "hot") for i in range(60)]
     got = sharding.shard(Workspace(spark), table(spark, rows), shards=7).collect()
@@ -188,6 +248,27 @@ def test_mixing(spark):
     assert abs(sent["a"] / (sent["a"] + sent["b"] + sent["c"]) - powers["a"] / sum(powers.values())) < 0.1
 
 
+def test_mixing_at_large_rates(spark):
+    """Counts against the Poisson distribution function by logarithms of gammas; a source that the weights don't name has no copies."""
+    rows = [(i, "x" * 10, "en", "a") for i in range(400)] + [(1000 + i, "x" * 100, "en", "b") for i in range(4000)] + [(9000, "y" * 4, "en", "c"), (9001, "y" * 4, "en", None)]
+    docs = table(spark, rows)
+    rate = {r["_mix_source"]: r["_mix_rate"] for r in mixing.rates(docs, 0.7, 1.0, {"a": 0.4, "b": 0.2, None: 0.4}).collect()}
+    assert set(rate) == {"a", "b", None} and rate[None] > mixing.LARGE * 10
+    got = mixing.mix(docs, weights={"a": 0.4, "b": 0.2, None: 0.4}).groupBy("doc_id", "source", "n_copies").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("k"), F.max("copy").alias("top")).collect()
+    counts = {r["doc_id"]: r["n_copies"] for r in got}
+    assert all(r["n"] == r["k"] == r["n_copies"] == r["top"] + 1 for r in got)
+    for d, _, _, source in rows:
+        u = int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:12], 16) / 2**48
+        n, below = counts.get(d, 0), [0.0, 0.0]
+        if source == "c":
+            assert n == 0
+            continue
+        for k in (0, 1):  # the distribution function at n - 1 and n
+            top = n - 1 + k
+            below[k] = math.fsum(math.exp(j * math.log(rate[source]) - rate[source] - math.lgamma(j + 1)) for j in range(max(0, int(rate[source] - 14 * rate[source] ** 0.5 - 40)), top + 1))
+        assert below[0] - 1e-7 <= u <= below[1] + 1e-7
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     seen = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
@@ -228,6 +309,48 @@ def test_quality_of_null_languages(spark):
     assert got[200]["word_distance"] > quality.MAX_WORD_DISTANCE and not got[200]["kept"] and not got[200]["base_failed"]
 
 
+def test_quality_of_many_languages(spark, rows):
+    """References that come with the rows judge as those that tasks hold; the verdict by brute force."""
+    every = [(*r, ["en", "de", None][i % 3]) for i, r in enumerate(rows)] + [(50_000 + i, "The " + prose(i, 150, 80).replace("w", "the") + (" ###%" * 90 if i % 9 == 0 else ""), ["en", "de"][i % 2]) for i in range(60)]
+    docs = table(spark, every)
+    want = sorted(map(tuple, quality.judge(Workspace(spark), docs, "doc_id", "source").collect()), key=repr)
+    assert sorted(map(tuple, quality.judge(Workspace(spark), docs, "doc_id", "source", languages=0).collect()), key=repr) == want
+    by_lang = collections.defaultdict(list)
+    for _, t, lang in every:
+        words = WORD.findall(t or "")
+        by_lang[lang].append((words, brute_classes(words)))
+    medians, common = {}, {}
+    for lang, texts in by_lang.items():
+        steps = [sorted(int((2 * 1000 * c[i] + sum(c)) // (2 * sum(c))) for _, c in texts if sum(c)) for i in range(6)]
+        medians[lang] = np.array([s[(len(s) - 1) // 2] / 1000 for s in steps])
+        held = collections.Counter(w for words, _ in texts for w in {x.lower().strip(quality.MARKS) for x in words} - {""})
+        common[lang] = dict(sorted(held.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON])
+    got = {r[0]: r for r in quality.judge(Workspace(spark), docs).select("doc_id", "kept", "base_failed", "class_distance", "word_distance").collect()}
+    for d, t, lang in every[len(rows) :]:
+        words = WORD.findall(t)
+        own = collections.Counter(x.lower().strip(quality.MARKS) for x in words)
+        p = np.array([own[w] for w in common[lang]] + [len(words) - sum(own[w] for w in common[lang])], float)
+        q = np.array([*common[lang].values()], float)
+        q = np.append(q / q.sum() / 2, 0.5)
+        far = (brute_distance(brute_classes(words), medians[lang]), brute_distance(p, q))
+        assert np.allclose(got[d][3:], far)
+        assert got[d][1] == (not got[d][2] and far[0] <= quality.MAX_CLASS_DISTANCE and far[1] <= quality.MAX_WORD_DISTANCE)
+
+
+def brute_classes(words):
+    kinds = collections.Counter()
+    for c in "".join(words):
+        k = unicodedata.category(c)
+        kinds[{"Ll": 0, "Lu": 1, "Nd": 2}.get(k, 3 if c in ".,;:!?'\"()-" else 4 if c in "#*$%&|<>" else 5)] += 1
+    return [kinds[i] for i in range(6)]
+
+
+def brute_distance(p, q):
+    p, q = np.array(p, float) / max(sum(p), 1e-300), np.array(q, float) / max(sum(q), 1e-300)
+    m = (p + q) / 2
+    return math.sqrt(max(0.0, sum((a * math.log2(a / c) if a else 0) + (b * math.log2(b / c) if b else 0) for a, b, c in zip(p, q, m, strict=True)) / 2))
+
+
 def test_divergence_is_a_distance():
     p = np.array([[1.0, 0, 0], [1, 1, 0], [0.2, 0.3, 0.5]])
     assert np.allclose(quality.distance(p, p), 0)
@@ -280,6 +403,34 @@ def test_toxicity(spark):
     assert all(g["predicted"] == 0 for g in none)
 
 
+def test_toxicity_reads_whole_texts(spark):
+    """Toxic words far behind in long texts count in training and in scores, and so does the rarer one."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(i, r.randrange(10, 40)).split()
+        if i % 2 == 0:
+            words = prose(i, 3000, 2000).split() + (["vile."] * 3 if i % 8 else ["grubby"] * 3) + words
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 2 == 0)))
+    rows += [(1000 + i, prose(1000 + i, 3000, 2000)) for i in range(30)]
+    labels += [(1000 + i, 1, 0) for i in range(30)]
+    got = {g["doc_id"]: g for g in toxicity.score(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_rows=100).collect()}
+    assert all(g["predicted"] == (d < 1000 and d % 2 == 0) for d, g in got.items())
+
+
+def test_sentences_of_the_field():
+    """Sentences counted together train as the tokens one by one would."""
+    texts = pa.array(["a vile B1 b. c vile", "a b. x y."], pa.string())
+    batch = pa.RecordBatch.from_pydict({"toxic": pa.array([1, 0]), "text": texts})
+    out = next(iter(toxicity.chains(["vile", "vil*"])([batch])))
+    rows = list(zip(*(out[c].to_pylist() for c in ("toxic", "chain", "n")), strict=True))
+    table, shapes, labels, starts, often = toxicity.read_chains(rows, 2)
+    assert sum(n * k for n, k in zip(often, np.diff([*starts, len(table)]), strict=True)) == 10
+    assert sorted((y, n, len(c) // 4) for y, c, n in rows) == [(0, 2, 2), (1, 1, 4), (1, 1, 6)]
+    assert labels.sum() == 2 and (table[labels == 1][:, :2] == [0, 1]).all() and (shapes == 4).sum() == 0 and (shapes & 4).any()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a>menu</a></li></ul></nav><!-- ad 0 --><div class="ad">buy</div><div class="cookie-notice">ok</div>
 <article><header><h1>Head &amp; line</h1></header><p><b>One   two<br>three<p>x&nbsp;&eacute; &#8364;</p><form><input>no</form><aside>side</aside><ul><li>a<li>b</ul><section class="comments"><p>reader</p></section></article>
@@ -299,6 +450,27 @@ def test_html_blocks(spark):
         assert got[(k, url)][0] == prose(i, 30, 10_000)
 
 
+def test_html_of_odd_markup(spark):
+    odd = '<body><article><a title="x>y" href=z>A</a> <b title="q>B</b><p class="lead share-note">kept</p><div class="related-work">work</div><div class="social-share">no</div><div id="siteFooter">no</div><p class=comments>no</p>end</article></body>'
+    assert " ".join(t for _, t in html_text.blocks(odd)) == "A B kept work end"
+
+
+def test_large_hosts_are_cut_as_small_ones(spark):
+    share = prose(3, 15, 40)
+    pages = [(i, f"http://h{i % 2}.example/{i}", f"<body><div>{prose(100 + i, 9, 30)} {share if i % 7 < 2 else ''} {prose(i, 20, 9 if i % 5 == 0 else 5000)}</div></body>") for i in range(60)]
+    df = spark.createDataFrame([*pages, pages[3], (99, None, "<p>a b</p>")], "page_id long, url string, html string")
+    every = [sorted(map(tuple, html_text.extract(Workspace(spark), df, group_tokens=g).drop("rid").collect()), key=repr) for g in (0, 1000, 10**6)]
+    assert every[0] == every[1] == every[2] and len(every[0]) == 62
+    words = {p: html_text.blocks(h)[0][1].split(" ") for p, _, h in pages}
+    for page_id, url, text, n in every[0]:
+        if page_id in (3, 99):
+            continue
+        w, host = words[page_id], page_id % 2
+        others = {tuple(v[i : i + 12]) for p, v in words.items() if p != page_id and p % 2 == host for i in range(len(v) - 11)}
+        covered = {j for i in range(len(w) - 11) if tuple(w[i : i + 12]) in others for j in range(i, i + 12)}
+        assert text == " ".join(x for j, x in enumerate(w) if j not in covered) and n == len(text)
+
+
 def test_suffix_array_marks_what_pages_share():
     r = random.Random(4)
     for _ in range(150):
@@ -341,6 +513,8 @@ def test_tokens_of_pieces_are_tokens_of_texts(name, by_words):
 
     r = random.Random(6)
     texts = ODD + ["".join(r.choice(["a", "B", " ", "\n", "\t", "'s", "1", ".", " ", "é"]) for _ in range(r.randrange(14))) for _ in range(1500)]
+    marks = ["a", "B", "é", "İ", "Σ", "ß", "中", "x\u0301", "\u0301", "'", "’", ".", ",", "!?", "&&", "-", "_", "<", "|", "\x1f", "\n", "\n\n", " ", "3", " the", "don't"]
+    texts += ["".join(r.choice(marks) for _ in range(r.randrange(20))) for _ in range(3000)]
     whole = Tokenizer.from_file(_tokens.vocabulary_path(name))
     encode = _tokens.Encoder(_tokens.vocabulary_path(name), by_words).encode
     for _ in range(2):
