@@ -23,9 +23,7 @@ def without(ws: Workspace, rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark)
-    rows = numbered(ws, docs, *COLUMNS)
-    return without(ws, rows, quality.judge(ws, rows, rid="rid").where("not kept").select("rid"))
+    return quality.judge(Workspace(spark), docs, *COLUMNS).where("kept").select(*COLUMNS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
