@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,6 +208,26 @@ def class_scatter(rows: DataFrame, dims: Sequence[str], by: str = "label") -> tu
     return entries(both.agg(*between), len(dims)), entries(inner.agg(*within), len(dims))
 
 
+def vector_scatter(rows: DataFrame, value: str, dims: int, by: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Between- and within-class scatter of array rows as entries (i, j, v): products are summed per batch, then per entry."""
+    mean = F.array(*[F.avg(F.col(value)[i]) for i in range(dims)])
+    classes = rows.groupBy(by).agg(mean.alias("m"), F.count(F.lit(1)).cast("double").alias("n"))
+    centre = rows.agg(mean.alias("g"))
+    away = lambda x, y: F.zip_with(x, y, lambda a, b: a - b)
+    spread = classes.crossJoin(F.broadcast(centre)).select(away("m", "g").alias("d"), "n")  # a row per class
+    inner = rows.join(F.broadcast(classes) if classes.count() <= 100_000 else classes, by).select(away(value, "m").alias("d"), F.lit(1.0).alias("n"))
+
+    def products(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = np.stack(pdf["d"].to_numpy())
+                s = (d * pdf["n"].to_numpy()[:, None]).T @ d
+                i, j = np.indices(s.shape)
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": s.ravel()})
+
+    return tuple(df.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")) for df in (spread, inner))
+
+
 def entries(one: DataFrame, n: int) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"{i}_{j}").alias("v")) for i in range(n) for j in range(n)])
     return one.select(F.explode(cells).alias("e")).select("e.i", "e.j", "e.v")

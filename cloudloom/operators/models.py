@@ -70,6 +70,14 @@ def class_base(rows: DataFrame, dims: Sequence[str], d: int, label: str = "label
     return L.lda(m[0], m[1], d)
 
 
+def scatter_matrix(entries: DataFrame, n: int) -> np.ndarray:
+    """Entries (i, j, v) as a matrix, on the driver: n x n numbers."""
+    m = np.zeros((n, n))
+    for r in entries.collect():
+        m[r["i"], r["j"]] = r["v"]
+    return m
+
+
 def hierarchy(points: DataFrame, angle: float = 0.95, near: float = 0.5, least: int = 20) -> DataFrame:
     """Planes and the objects on them, frame by frame: (frame_id, pt_id, node, parent, is_obj).
 

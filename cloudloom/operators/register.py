@@ -67,6 +67,37 @@ def cpd_rigid(source: DataFrame, target: DataFrame, rounds: int = 30, omega: flo
     return {"R": r, "t": t, "s": s, "sigma2": sigma2}
 
 
+def cpd_rigid_dense(y: np.ndarray, x: np.ndarray, rounds: int = 30, omega: float = 0.1, block: int = 512) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """As ``cpd_rigid`` without a scale, for two sets that one task holds: ``y`` moved onto ``x``, targets block by block."""
+    m, n = len(y), len(x)
+    r, t = np.eye(3), np.zeros(3)
+    sigma2 = max(((x**2).sum() / n + (y**2).sum() / m - 2 * x.mean(0) @ y.mean(0)) / 3, 1e-9)
+    for _ in range(rounds):
+        moved = y @ r.T + t
+        c = A.cpd_constant(sigma2, omega, m, n)
+        p1, px, xx = np.zeros(m), np.zeros((m, 3)), 0.0
+        for i in range(0, n, block):
+            b = x[i : i + block]
+            p = np.exp(-np.maximum((b**2).sum(1)[:, None] + (moved**2).sum(1)[None] - 2 * b @ moved.T, 0) / (2 * sigma2))
+            p /= p.sum(1, keepdims=True) + c
+            p1 += p.sum(0)
+            px += p.T @ b
+            xx += float(p.sum(1) @ (b**2).sum(1))
+        total = p1.sum()
+        mx, my = px.sum(0) / total, p1 @ y / total
+        a = (px - p1[:, None] * mx).T @ (y - my)
+        u, _, v = np.linalg.svd(a)
+        r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v)) or 1]) @ v
+        t = mx - r @ my
+        spread = float(p1 @ ((y - my) ** 2).sum(1))
+        new = max((xx - total * mx @ mx + spread - 2 * float(np.trace(r.T @ a))) / (3 * total), 1e-12)
+        done = abs(new - sigma2) < 1e-10 * max(sigma2, 1e-30)
+        sigma2 = new
+        if done:
+            break
+    return r, t, 1.0, sigma2
+
+
 @dataclass
 class Model:
     """Centroids of all objects with weights and inverse variances, and a pose of each frame and object."""
@@ -97,7 +128,7 @@ class Variant:
     ``yaw_only``: poses turn about z. ``normals``, ``colour``: extra likelihood terms. ``boxes``: probability of boxes per object.
     ``primitive``: objects are plates or cubes (distance to a fitted box). ``recentre``: objects go to fixed places along z.
     ``patches``: after each E-step the weakest object of each input patch is dropped. ``spectral``: responsibilities are smoothed
-    by a graph's low frequencies. ``inverse``: centroids keep still while frames move onto them.
+    by a graph's low frequencies.
     """
 
     prior: bool = True
@@ -229,7 +260,7 @@ def step(points: DataFrame, m: Model, var: Variant, extra_cols: dict[str, list[s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frame = int(pdf.frame_id.iloc[0])
         v = pdf[["x", "y", "z"]].to_numpy(float)
-        extra = {k: pdf[c].to_numpy(float) if k != "l" else pdf[c[0]].to_numpy() for k, c in extra_cols.items()}
+        extra = extra_values(pdf, extra_cols)
         a, d2 = responsibilities(v, m, frame, var, extra)
         if var.truncate:
             a = np.where(a < np.median(a, axis=0), 0, a)
@@ -255,8 +286,8 @@ def step(points: DataFrame, m: Model, var: Variant, extra_cols: dict[str, list[s
     return points.groupBy("frame_id").applyInPandas(run, schema).toPandas()  # frames x K rows of sums
 
 
-def fit(points: DataFrame, m: Model, var: Variant, rounds: int = 10) -> Model:
-    """Alternates E and M steps; stops when the model stands still. ``points(frame_id, pt_id, x, y, z[, nx, ny, nz, r, g, b, label, b1..])``."""
+def extra_columns(m: Model, var: Variant) -> dict[str, list[str]]:
+    """The columns that a variant's likelihood reads besides positions."""
     extra: dict[str, list[str]] = {}
     if var.normals:
         extra["n"] = ["nx", "ny", "nz"]
@@ -266,6 +297,16 @@ def fit(points: DataFrame, m: Model, var: Variant, rounds: int = 10) -> Model:
         extra["b"] = [f"b{i}" for i in range(1, int(m.obj.max()) + 1)]
     if var.patches:
         extra["l"] = ["label"]
+    return extra
+
+
+def extra_values(pdf: pd.DataFrame, columns: dict[str, list[str]]) -> dict[str, np.ndarray]:
+    return {k: pdf[c].to_numpy(float) if k != "l" else pdf[c[0]].to_numpy() for k, c in columns.items()}
+
+
+def fit(points: DataFrame, m: Model, var: Variant, rounds: int = 10) -> Model:
+    """Alternates E and M steps; stops when the model stands still. ``points(frame_id, pt_id, x, y, z[, nx, ny, nz, r, g, b, label, b1..])``."""
+    extra = extra_columns(m, var)
     for _ in range(rounds):
         got = step(points, m, var, extra)
         for (f, k), row in got.set_index(["frame_id", "k"])[POSE].iterrows():
@@ -299,11 +340,11 @@ def fit(points: DataFrame, m: Model, var: Variant, rounds: int = 10) -> Model:
 
 
 def labels(points: DataFrame, m: Model, var: Variant) -> DataFrame:
-    """The object with most responsibility of each point."""
-    plain = Variant(**{**var.__dict__, "normals": False, "colour": False, "boxes": False, "patches": False, "spectral": 0})
+    """The object with most responsibility of each point, under the model that was fitted."""
+    columns = extra_columns(m, var)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, _ = responsibilities(pdf[["x", "y", "z"]].to_numpy(float), m, int(pdf.frame_id.iloc[0]), plain, {})
+        a, _ = responsibilities(pdf[["x", "y", "z"]].to_numpy(float), m, int(pdf.frame_id.iloc[0]), var, extra_values(pdf, columns))
         objects = np.unique(m.obj)
         mass = np.stack([a[:, m.obj == o].sum(1) for o in objects], 1)
         return pd.DataFrame({"frame_id": pdf.frame_id, "pt_id": pdf.pt_id, "label": objects[mass.argmax(1)].astype(np.int32)})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import geometry as G
+from cloudloom.sources.shared import written
 
 XYZ = ("x", "y", "z")
 
@@ -54,40 +55,51 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, metric: str =
     return a.join(b, [*by, *keys]).withColumn("d", d).where(F.col("d") < limit if strict else F.col("d") <= limit).select(*by, key, "nb", "d")
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, by: Sequence[str] = ("frame_id",), key: str = "pt_id", rings: int = 4, nb: str = "nb") -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, by: Sequence[str] = ("frame_id",), key: str = "pt_id", nb: str = "nb") -> DataFrame:
     """The ``k`` nearest points of ``right`` for each of ``left``: (by, key, nb, d2, rank from 1), ties by the neighbour's key.
 
-    Candidates come from the cells around a point. A point is done if it has k neighbours no farther than the searched cells
-    surely reach; the others go on with cells twice as wide, and after ``rings`` rounds with all points of their group.
+    Candidates come from the cells of ``size`` around a point. A point is done if it has k neighbours no farther than these cells
+    surely reach; the others take the cells of a coarser grid that may hold one of the k (see ``beyond``).
     """
     keys = ["kx", "ky", "kz"]
     right = right.select(*by, F.col(key).alias(nb), *[F.col(c).alias("n" + c) for c in XYZ])
-    todo, found = left.select(*by, key, *XYZ), []
+    left = left.select(*by, key, *XYZ)
+    pairs = with_cells(left, size).join(around(with_cells(right, size, axes=["nx", "ny", "nz"]), keys), [*by, *keys])
+    sure = F.max(F.when((F.col("rank") == k) & (F.col("d2") <= float(size) ** 2), 1)).over(Window.partitionBy(*by, key))
+    done = written(ranked(pairs, k, by, key, nb).withColumn("_sure", sure).where("_sure = 1").drop("_sure"))  # read by the result and by what is left
+    rest = left.join(done.where("rank = 1").select(*by, key), [*by, key], "left_anti")
+    return done.unionByName(ranked(beyond(rest, right, k, size, by, key), k, by, key, nb))
+
+
+def ranked(pairs: DataFrame, k: int, by: Sequence[str], key: str, nb: str) -> DataFrame:
     order = Window.partitionBy(*by, key).orderBy("d2", nb)
-    for ring in range(rings + 1):
-        last = ring == rings
-        if last:
-            pairs = todo.join(right, list(by))
-        else:
-            a = with_cells(todo, size)
-            b = around(with_cells(right, size, axes=["nx", "ny", "nz"]), keys)
-            pairs = a.join(b, [*by, *keys])
-        ranked = pairs.withColumn("d2", G.sq_dist(G.vec(), G.vec("n"))).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-        if last:
-            found.append(ranked.select(*by, key, nb, "d2", "rank"))
-            break
-        sure = F.max(F.when((F.col("rank") == k) & (F.col("d2") <= float(size) ** 2), 1)).over(Window.partitionBy(*by, key))
-        ranked = ranked.withColumn("_sure", sure).persist()  # read by what is done and by what goes on
-        done = ranked.where("_sure = 1")
-        found.append(done.select(*by, key, nb, "d2", "rank"))
-        left_over = todo.join(done.select(*by, key).distinct(), [*by, key], "left_anti")
-        todo, size = left_over, size * 2
-        if ring >= 1 and todo.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    near = pairs.withColumn("d2", G.sq_dist(G.vec(), G.vec("n"))).withColumn("rank", F.row_number().over(order).cast("long"))
+    return near.where(F.col("rank") <= k).select(*by, key, nb, "d2", "rank")
+
+
+def beyond(left: DataFrame, right: DataFrame, k: int, size: float, by: Sequence[str], key: str, parts: int = 16) -> DataFrame:
+    """Pairs of points with those of all cells that may hold one of their k nearest, at any distance.
+
+    Cells are at most ``parts`` an axis. Of each cell its points' number and bounds are known; the nearest cells that surely hold k
+    points bound the distance, and cells beyond that bound are left out.
+    """
+    keys = ["kx", "ky", "kz"]
+    span = right.agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("nx", "ny", "nz")]).first()
+    size = max(size, max(x or 0.0 for x in span) / parts)
+    cells = with_cells(right, size, axes=["nx", "ny", "nz"])
+    bounds = cells.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_n"), *[F.min("n" + c).alias("_l" + c) for c in XYZ], *[F.max("n" + c).alias("_h" + c) for c in XYZ])
+    gap = lambda c: F.greatest(F.lit(0.0), F.col("_l" + c) - F.col(c), F.col(c) - F.col("_h" + c))
+    reach = lambda c: F.greatest(F.abs(F.col(c) - F.col("_l" + c)), F.abs(F.col("_h" + c) - F.col(c)))
+    near, far = [], []
+    for c in XYZ:
+        near.append(gap(c) * gap(c))
+        far.append(reach(c) * reach(c))
+    at = left.join(bounds, list(by)).select(*by, key, *XYZ, *keys, "_n", (near[0] + near[1] + near[2]).alias("_near"), (far[0] + far[1] + far[2]).alias("_far"))
+    point = Window.partitionBy(*by, key)
+    at = at.withColumn("_sum", F.sum("_n").over(point.orderBy("_far")))
+    at = at.withColumn("_most", F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(point))
+    kept = at.where("_most IS NULL OR _near <= _most * (1 + 1e-12)").select(*by, key, *XYZ, *keys)
+    return kept.join(cells, [*by, *keys])
 
 
 def number_cells(cells: DataFrame, by: Sequence[str] = ("frame_id",), name: str = "sv") -> DataFrame:
@@ -138,8 +150,12 @@ def leaf_corners(leaves: DataFrame, size: float) -> DataFrame:
     return out
 
 
-def bucket_leaves(points: DataFrame, bucket: int, low: float, extent: float, by: Sequence[str] = ("frame_id",), deepest: int = 12) -> DataFrame:
-    """Octree leaves of at most ``bucket`` points: (by, pt_id, depth, kx, ky, kz). One aggregation a level, on what is not yet settled."""
+def bucket_leaves(points: DataFrame, bucket: int, low: float, extent: float, by: Sequence[str] = ("frame_id",), deepest: int = 40) -> DataFrame:
+    """Octree leaves of at most ``bucket`` points: (by, pt_id, depth, kx, ky, kz). One aggregation a level, on what is not yet settled.
+
+    Levels end when no leaf is over-full; more points at one place than a leaf holds stay together at ``deepest``, where a cell's
+    size nears the precision of coordinates.
+    """
     todo, found = points.select(*by, "pt_id", *XYZ), None
     for depth in range(deepest + 1):
         size = extent / (1 << depth)
@@ -148,9 +164,12 @@ def bucket_leaves(points: DataFrame, bucket: int, low: float, extent: float, by:
             keyed = keyed.withColumn(f"k{c}", F.floor((F.col(c) - F.lit(low)) / F.lit(size)).cast("long"))
         counts = keyed.groupBy(*by, "kx", "ky", "kz").agg(F.count(F.lit(1)).alias("n"))
         full = keyed.join(counts, [*by, "kx", "ky", "kz"]).withColumn("depth", F.lit(depth))
-        done = full if depth == deepest else full.where(F.col("n") <= bucket)
+        last = depth == deepest or counts.where(F.col("n") > bucket).isEmpty()
+        done = full if last else full.where(F.col("n") <= bucket)
         done = done.select(*by, "pt_id", "depth", "kx", "ky", "kz")
         found = done if found is None else found.unionByName(done)
+        if last:
+            break
         todo = full.where(F.col("n") > bucket).select(*by, "pt_id", *XYZ)
     return found
 

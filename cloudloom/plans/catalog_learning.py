@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.operators import aggregates as A
 from cloudloom.operators import features as E
 from cloudloom.operators import linalg as L
 from cloudloom.operators import models as M
@@ -18,14 +19,10 @@ from cloudloom.plans.catalog_models import patch_feature, sv_costs, sv_weights
 from cloudloom.plans.catalog_spatial import spectral_affinity, with_ends
 from cloudloom.plans.registry import query, rounded
 from cloudloom.sources import meshes
-from cloudloom.sources.shared import shared_folder
+from cloudloom.sources.shared import shared_folder, written
 from cloudloom.sources.views import Views, with_views
 
 
-def sample(v: Views, step: int = 16) -> DataFrame:
-    return v.pts.where(f"pt_id % {8 * step} < 8")
-
-
 def near(v: Views, k: int = 10) -> DataFrame:
     return S.knn_join(v.pts, v.pts, k, 0.5)
 
@@ -49,14 +46,14 @@ def agd(v: Views) -> DataFrame:
     return E.average_geodesic(v.supervoxels, v.sv_edges)
 
 
-@query("geodesic_relaxed", with_views("supervoxels sv_edges", """+ e AS (SELECT x.frame_id, x.a, x.b, sqrt(pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) + pow(p.cz - q.cz, 2)) AS d FROM sv_edges x JOIN supervoxels p ON x.frame_id = p.frame_id AND x.a = p.sv JOIN supervoxels q ON x.frame_id = q.frame_id AND x.b = q.sv WHERE x.frame_id = 0),
- s AS (SELECT a, b, d FROM e UNION ALL SELECT b, a, d FROM e), z AS (SELECT 1 AS sv, 0e0 AS d), o AS (SELECT sv, min(d) AS d FROM (SELECT * FROM z UNION ALL SELECT s.b, z.d + s.d FROM z JOIN s ON z.sv = s.a) GROUP BY sv), t AS (SELECT sv, min(d) AS d FROM (SELECT * FROM o UNION ALL SELECT s.b, o.d + s.d FROM o JOIN s ON o.sv = s.a) GROUP BY sv)
- SELECT CAST(0 AS INT) AS frame_id, CAST(sv AS BIGINT) AS sv, round(d, 6) + 0e0 AS d FROM t"""))
+@query("geodesic_relaxed", with_views("supervoxels sv_edges", """+ e AS (SELECT x.frame_id, x.a, x.b, sqrt(pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) + pow(p.cz - q.cz, 2)) AS d FROM sv_edges x JOIN supervoxels p ON x.frame_id = p.frame_id AND x.a = p.sv JOIN supervoxels q ON x.frame_id = q.frame_id AND x.b = q.sv),
+ s AS (SELECT frame_id, a, b, d FROM e UNION ALL SELECT frame_id, b, a, d FROM e), z AS (SELECT frame_id, sv, 0e0 AS d FROM supervoxels WHERE sv = 1), o AS (SELECT frame_id, sv, min(d) AS d FROM (SELECT * FROM z UNION ALL SELECT s.frame_id, s.b, z.d + s.d FROM z JOIN s ON z.frame_id = s.frame_id AND z.sv = s.a) GROUP BY ALL), t AS (SELECT frame_id, sv, min(d) AS d FROM (SELECT * FROM o UNION ALL SELECT s.frame_id, s.b, o.d + s.d FROM o JOIN s ON o.frame_id = s.frame_id AND o.sv = s.a) GROUP BY ALL)
+ SELECT frame_id, CAST(sv AS BIGINT) AS sv, round(d, 6) + 0e0 AS d FROM t"""))
 def geodesic_relaxed(v: Views) -> DataFrame:
-    """Two relaxations of path lengths from supervoxel 1, as joins."""
-    e = with_ends(v.sv_edges.where("frame_id = 0"), v.supervoxels, ["cx", "cy", "cz"])
+    """Two relaxations of path lengths from supervoxel 1 of each frame, as joins."""
+    e = with_ends(v.sv_edges, v.supervoxels, ["cx", "cy", "cz"])
     d = F.sqrt(sum((F.pow(F.col(f"c{c}_a") - F.col(f"c{c}_b"), 2) for c in "yz"), F.pow(F.col("cx_a") - F.col("cx_b"), 2)))
-    start = v.supervoxels.where("frame_id = 0 AND sv = 1").select("frame_id", F.col("sv").alias("src"))
+    start = v.supervoxels.where("sv = 1").select("frame_id", F.col("sv").alias("src"))
     return E.relaxed_paths(e.select("frame_id", "a", "b", d.alias("d")), start, 2).select("frame_id", "sv", rounded(F.col("d"), "d"))
 
 
@@ -76,7 +73,7 @@ def embeddings(v: Views) -> DataFrame:
 
 @query("kmeans")
 def kmeans(v: Views) -> DataFrame:
-    rows = embeddings(v).withColumn("f", F.slice("f", 1, 8))
+    rows = embeddings(v)
     centres = E.code_words(rows, "f", 10)
     return rows.select("vec_id", E.nearest_word(F.col("f"), centres).alias("word"))
 
@@ -86,7 +83,7 @@ def bof(v: Views) -> DataFrame:
     """Codebook, assignment and tf-idf of each frame's and label's words."""
     from cloudloom.operators.aggregates import tf_idf
 
-    rows = embeddings(v).select(F.expr("CAST(vec_id % 5 AS INT)").alias("frame_id"), "label", F.slice("f", 1, 6).alias("f"))
+    rows = embeddings(v).select(F.expr("CAST(vec_id % 5 AS INT)").alias("frame_id"), "label", "f")
     words = rows.withColumn("word", E.nearest_word(F.col("f"), E.code_words(rows, "f", 12)))
     return tf_idf(words.select("frame_id", "label", "word"))
 
@@ -115,22 +112,27 @@ def gmm_grow(v: Views) -> DataFrame:
     return v.pts.groupBy("frame_id").applyInPandas(run, "frame_id int, components int, avg_log_p double")
 
 
+def projected(rows: DataFrame, base: np.ndarray, centre: np.ndarray | None = None) -> list:
+    """Columns p0, p1, … of the array column f, less ``centre``, on the columns of ``base``."""
+    f = F.col("f") if centre is None else F.zip_with("f", F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: a - b)
+    dot = lambda w: F.aggregate(F.zip_with(f, F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return [dot(base[:, k]).alias(f"p{k}") for k in range(base.shape[1])]
+
+
 @query("pca")
 def pca(v: Views) -> DataFrame:
-    """Projection of the embeddings on their first two axes: the covariance in Spark, the base on the driver."""
-    rows = v.table("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    s = rows.agg(*[F.avg(f"e{i}").alias(f"m{i}") for i in range(8)], *[F.covar_pop(f"e{i}", f"e{j}").alias(f"c{i}_{j}") for i in range(8) for j in range(8)]).first()
-    base = np.linalg.eigh(np.array([[s[f"c{i}_{j}"] for j in range(8)] for i in range(8)]))[1][:, ::-1][:, :2]
-    out = [sum(((F.col(f"e{i}") - s[f"m{i}"]) * float(base[i, k]) for i in range(1, 8)), (F.col("e0") - s["m0"]) * float(base[0, k])) for k in range(2)]
-    return rows.select("vec_id", out[0].alias("p0"), out[1].alias("p1"))
+    """Projection of the embeddings on their first two axes: the scatter in Spark, the base on the driver."""
+    rows = embeddings(v).withColumn("one", F.lit(1))
+    base = np.linalg.eigh(M.scatter_matrix(A.vector_scatter(rows, "f", 64, "one")[1], 64))[1][:, ::-1][:, :2]
+    mean = rows.agg(*[F.avg(F.col("f")[i]) for i in range(64)]).first()
+    return rows.select("vec_id", *projected(rows, base, np.array(mean)))
 
 
 @query("lda")
 def lda(v: Views) -> DataFrame:
-    dims = [f"e{i}" for i in range(6)]
-    rows = v.table("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
-    base = M.class_base(rows, dims, 2)
-    return rows.select("vec_id", *[sum((F.col(d) * float(base[i, k]) for i, d in enumerate(dims) if i), F.col(dims[0]) * float(base[0, k])).alias(f"p{k}") for k in range(2)])
+    rows = embeddings(v)
+    between, within = (M.scatter_matrix(df, 64) for df in A.vector_scatter(rows, "f", 64))
+    return rows.select("vec_id", *projected(rows, L.lda(between, within, 2)))
 
 
 def segments(v: Views, method: str, kind: str = "G") -> DataFrame:
@@ -159,7 +161,7 @@ def spectral_base(v: Views) -> DataFrame:
 
 @query("peac")
 def peac(v: Views) -> DataFrame:
-    """Consensus of the three runs over parts, block by block."""
+    """Consensus of the three runs over all parts: one sequential descent, so one task holds the (narrow) ensemble."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +172,7 @@ def peac(v: Views) -> DataFrame:
         share = (x[edges[:, 0]] == x[edges[:, 1]]).mean(1)
         return pd.DataFrame({"sv": t.index, "label": L.peac(n, edges, share, 6).astype(np.int32)})
 
-    return v.ensemble.withColumn("block", F.expr("(sv - 1) div 200")).groupBy("block").applyInPandas(run, "sv long, label int")
+    return v.ensemble.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "sv long, label int")
 
 
 @query("rpeac")
@@ -181,7 +183,7 @@ def rpeac(v: Views) -> DataFrame:
     from cloudloom.operators.relational import atomic
 
     atoms = atomic(v.ensemble)
-    names = atoms.select("atom", "signature").distinct().orderBy("atom").limit(5000).toPandas()  # signatures: at most the product of the runs' clusters
+    names = atoms.select("atom", "signature").distinct().orderBy("atom").toPandas()  # signatures: at most the product of the runs' numbers of clusters
     x = np.array([[int(c) for c in s.split("-")] for s in names.signature])
     a, b = np.nonzero(np.triu(np.ones((len(x), len(x)), bool), 1))
     share = (x[a] == x[b]).mean(1)
@@ -208,7 +210,7 @@ def region_grow(v: Views) -> DataFrame:
 
 @query("region_grow_rgb")
 def region_grow_rgb(v: Views) -> DataFrame:
-    return Z.region_grow_rgb(sample(v, 4), S.knn_join(sample(v, 4), sample(v, 4), 6, 0.6), 40.0, 25.0, 3)
+    return Z.region_grow_rgb(v.pts, near(v, 6), 40.0, 25.0, 3)
 
 
 @query("segment_from_point")
@@ -295,18 +297,23 @@ def crf2d(v: Views) -> DataFrame:
 
 @query("cpd_rigid")
 def cpd_rigid(v: Views) -> DataFrame:
-    """Registers a turned copy of a sample back: the pose and its error."""
-    s = sample(v).where("frame_id = 0")
-    turned = s.select((0.95 * F.col("x") - 0.3122498999 * F.col("y") + 0.2).alias("x"), (0.3122498999 * F.col("x") + 0.95 * F.col("y")).alias("y"), F.col("z"))
-    got = G.cpd_rigid(s, turned)
-    return v.spark.createDataFrame([(float(got["R"][0, 0]), float(got["R"][1, 0]), float(got["t"][0]), float(got["s"]), float(got["sigma2"]))], "r00 double, r10 double, tx double, s double, sigma2 double")
+    """Registers a turned copy of each frame back: the pose and its error, a task a frame."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf[["x", "y", "z"]].to_numpy(float)
+        turned = np.stack([0.95 * y[:, 0] - 0.3122498999 * y[:, 1] + 0.2, 0.3122498999 * y[:, 0] + 0.95 * y[:, 1], y[:, 2]], 1)
+        r, t, s, sigma2 = G.cpd_rigid_dense(y, turned)
+        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "r00": [r[0, 0]], "r10": [r[1, 0]], "tx": [t[0]], "s": [s], "sigma2": [sigma2]})
+
+    return v.pts.groupBy("frame_id").applyInPandas(run, "frame_id int, r00 double, r10 double, tx double, s double, sigma2 double")
 
 
 def em(name: str, k: int = 12, objects: int = 2, rounds: int = 4):
     def plan(v: Views) -> DataFrame:
         var = G.VARIANTS[name]
-        pts = sample(v, 8).join(v.nrm, ["frame_id", "pt_id"]).select("frame_id", "pt_id", "x", "y", "z", "nx", "ny", "nz", *[(F.col(c) / 255).alias(c) for c in "rgb"], "label", *[F.exp(-F.pow(F.col("z") - i, 2)).alias(f"b{i}") for i in range(1, objects + 1)])
-        pts = pts.persist()
+        pts = v.pts.join(v.nrm, ["frame_id", "pt_id"]).select("frame_id", "pt_id", "x", "y", "z", "nx", "ny", "nz", *[(F.col(c) / 255).alias(c) for c in "rgb"], "label", *[F.exp(-F.pow(F.col("z") - i, 2)).alias(f"b{i}") for i in range(1, objects + 1)])
+        pts = written(pts)  # read in every round
         model = G.fit(pts, G.initial(pts, k, objects), var, rounds)
         return G.labels(pts, model, var)
 
@@ -399,8 +406,9 @@ def spectrum(v: Views) -> DataFrame:
 def update_object(v: Views) -> DataFrame:
     """Each label's points of all frames registered to one model: label, centroids."""
     out = None
-    for label in (1, 2):
-        pts = sample(v, 4).where(f"label = {label}").persist()
+    every = written(v.pts.where("label > 0").select("frame_id", "pt_id", "x", "y", "z", "label"))
+    for label in sorted(r["label"] for r in every.select("label").distinct().collect()):  # a row per object
+        pts = every.where(F.col("label") == label)
         m = G.fit(pts, G.initial(pts, 8, 1), G.VARIANTS["jrmpc"], 3)
         rows = v.spark.createDataFrame([(label, k, *map(float, x), float(p)) for k, (x, p) in enumerate(zip(m.x, m.p, strict=True))], "label int, k int, x double, y double, z double, p double")
         out = rows if out is None else out.unionByName(rows)

@@ -64,13 +64,14 @@ def patch_features(v: Views) -> DataFrame:
     return patch_feature(v).select("frame_id", "label", F.size("feature").alias("dims"), rounded(F.aggregate("feature", F.lit(0.0), lambda a, x: a + x), "total"))
 
 
-COV = "CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(covar_pop({p}, {q}) * count(*), 4) + 0e0 AS s{p}{q}" for p, q in ("xx", "xy", "xz", "yy", "yz", "zz"))
+# products of four decimals lie on half digits: a step beside them settles how both engines round
+COV = "CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(covar_pop({p}, {q}) * count(*) + 1e-7, 4) + 0e0 AS s{p}{q}" for p, q in ("xx", "xy", "xz", "yy", "yz", "zz"))
 
 
 @query("cov_scatter", with_views("pts", f"SELECT frame_id, label, {COV} FROM pts GROUP BY frame_id, label"))
 def cov_scatter(v: Views) -> DataFrame:
     s = A.scatter(v.pts, ["frame_id", "label"])
-    return s.select("frame_id", "label", "n", *[(F.round(F.col(c), 4) + 0.0).alias(c) for c in ("sxx", "sxy", "sxz", "syy", "syz", "szz")])
+    return s.select("frame_id", "label", "n", *[(F.round(F.col(c) + 1e-7, 4) + 0.0).alias(c) for c in ("sxx", "sxy", "sxz", "syy", "syz", "szz")])
 
 
 WORDS = "w AS (SELECT frame_id, label, (r * 7 + g) % 48 AS word FROM pts WHERE label > 0), c AS (SELECT frame_id, label, word, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT frame_id, label, sum(n) AS size FROM c GROUP BY ALL)"
@@ -88,12 +89,12 @@ def bof_tfidf_frame(v: Views) -> DataFrame:
     return A.tf_idf(words, per_frame=True).select("frame_id", "label", "word", rounded(F.col("tfidf"), "tfidf"))
 
 
-LIKE = """+ a AS (SELECT q.frame_id, q.pt_id, k, obj_id, p, w, q.x AS vx, q.y AS vy, q.z AS vz, pow(q.x - c.x, 2) + pow(q.y - c.y, 2) + pow(q.z - c.z, 2) AS d2 FROM pts q, centroids c WHERE q.pt_id % 4 = 0),
+LIKE = """+ a AS (SELECT q.frame_id, q.pt_id, k, obj_id, p, w, q.x AS vx, q.y AS vy, q.z AS vz, pow(q.x - c.x, 2) + pow(q.y - c.y, 2) + pow(q.z - c.z, 2) AS d2 FROM pts q, centroids c),
  l AS (SELECT *, exp(-0.5e0 * w * d2) * pow(w, 1.5e0) * p AS a FROM a), n AS (SELECT * EXCLUDE (a), a / (sum(a) OVER (PARTITION BY frame_id, pt_id) + 1e-5) AS a FROM l)"""
 
 
 def likelihood(v: Views) -> DataFrame:
-    return A.pair_likelihood(v.pts.where("pt_id % 4 = 0"), v.centroids)
+    return A.pair_likelihood(v.pts, v.centroids)
 
 
 def alpha(v: Views) -> DataFrame:
@@ -155,13 +156,13 @@ def running_mean(v: Views) -> DataFrame:
     return m.select("frame_id", (F.round(F.expr("avg(m) OVER (ORDER BY frame_id)"), 6) + 0.0).alias("mean"))
 
 
-UNARY = "+ u AS (SELECT frame_id, pt_id, CAST(l AS INT) AS l, CASE WHEN l = label THEN 0.5e0 ELSE 1.5e0 + 0.1e0 * l END AS u FROM pts, range(0, 5) t(l) WHERE pt_id % 10 = 0), q AS (SELECT *, exp(-u) / sum(exp(-u)) OVER (PARTITION BY frame_id, pt_id) AS q FROM u)"
+UNARY = "+ u AS (SELECT frame_id, pt_id, CAST(l AS INT) AS l, CASE WHEN l = label THEN 0.5e0 ELSE 1.5e0 + 0.1e0 * l END AS u FROM pts, range(0, 5) t(l)), q AS (SELECT *, exp(-u) / sum(exp(-u)) OVER (PARTITION BY frame_id, pt_id) AS q FROM u)"
 
 
 def unary(v: Views) -> DataFrame:
     labels = F.explode(F.array(*[F.lit(i) for i in range(5)]))
     u = F.when(F.col("l") == F.col("label"), 0.5).otherwise(1.5 + 0.1 * F.col("l"))
-    return v.pts.where("pt_id % 10 = 0").withColumn("l", labels).select("frame_id", "pt_id", "x", "y", "z", "l", u.alias("u"))
+    return v.pts.withColumn("l", labels).select("frame_id", "pt_id", "x", "y", "z", "l", u.alias("u"))
 
 
 @query("softmax", with_views("pts", UNARY + " SELECT frame_id, pt_id, l, round(q, 6) + 0e0 AS q FROM q"))
@@ -171,7 +172,7 @@ def softmax(v: Views) -> DataFrame:
 
 
 @query("dense_crf_step", with_views("pts", UNARY + """, k AS (SELECT a.frame_id, a.pt_id, b.pt_id AS nb, exp(-0.5e0 * (pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) / 0.04e0) AS k FROM pts a JOIN pts b ON a.frame_id = b.frame_id AND a.pt_id <> b.pt_id
- WHERE a.pt_id % 10 = 0 AND b.pt_id % 10 = 0 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 0.36e0),
+ WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 0.36e0),
  m AS (SELECT k.frame_id, k.pt_id, l, sum(k * q) AS m FROM k JOIN q ON k.frame_id = q.frame_id AND k.nb = q.pt_id GROUP BY ALL), e AS (SELECT u.frame_id, u.pt_id, u.l, exp(-u + 2 * coalesce(m, 0)) AS e FROM u LEFT JOIN m USING (frame_id, pt_id, l))
  SELECT frame_id, pt_id, l, round(e / sum(e) OVER (PARTITION BY frame_id, pt_id), 6) + 0e0 AS q FROM e"""))
 def dense_crf_step(v: Views) -> DataFrame:
@@ -218,13 +219,15 @@ def mrf_icm_sweep(v: Views) -> DataFrame:
     return A.icm_sweep(sv_costs(v), first_labels(v), sv_weights(v)).select("frame_id", "sv", "label")
 
 
-@query("lda_scatter", """WITH f AS (SELECT label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings), m AS (SELECT label, count(*) AS n, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM f GROUP BY label), g AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c FROM f)
- SELECT round(sum(n * (m.a - g.a) * (m.a - g.a)), 4) + 0e0 AS baa, round(sum(n * (m.a - g.a) * (m.b - g.b)), 4) + 0e0 AS bab, round((SELECT sum((f.a - m.a) * (f.a - m.a)) FROM f JOIN m USING (label)), 4) + 0e0 AS waa, round((SELECT sum((f.a - m.a) * (f.c - m.c)) FROM f JOIN m USING (label)), 4) + 0e0 AS wac FROM m, g""")
+@query("lda_scatter", """WITH e AS (SELECT vec_id, label, CAST(i AS INT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS c FROM embeddings, range(0, 64) t(i)), m AS (SELECT label, i, count(*) AS n, avg(c) AS m FROM e GROUP BY label, i), g AS (SELECT i, avg(c) AS g FROM e GROUP BY i),
+ b AS (SELECT p.i, q.i AS j, sum(p.n * (p.m - gp.g) * (q.m - gq.g)) AS between_v FROM m p JOIN m q USING (label) JOIN g gp ON gp.i = p.i JOIN g gq ON gq.i = q.i GROUP BY p.i, q.i), d AS (SELECT vec_id, e.i, c - m AS d FROM e JOIN m USING (label, i)),
+ w AS (SELECT p.i, q.i AS j, sum(p.d * q.d) AS within_v FROM d p JOIN d q USING (vec_id) GROUP BY p.i, q.i)
+ SELECT i, j, round(between_v, 4) + 0e0 AS between_v, round(within_v, 4) + 0e0 AS within_v FROM b JOIN w USING (i, j)""")
 def lda_scatter(v: Views) -> DataFrame:
-    rows = v.table("embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("abc")])
-    between, within = A.class_scatter(rows, list("abc"))
-    pick = lambda df, i, j, n: df.where(f"i = {i} AND j = {j}").select((F.round("v", 4) + 0.0).alias(n))
-    return pick(between, 0, 0, "baa").crossJoin(pick(between, 0, 1, "bab")).crossJoin(pick(within, 0, 0, "waa")).crossJoin(pick(within, 0, 2, "wac"))
+    rows = v.table("embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+    between, within = A.vector_scatter(rows, "f", 64)
+    both = between.withColumnRenamed("v", "between_v").join(within.withColumnRenamed("v", "within_v"), ["i", "j"])
+    return both.select("i", "j", *[(F.round(c, 4) + 0.0).alias(c) for c in ("between_v", "within_v")])
 
 
 @query("top_k_head", """WITH e AS (SELECT vec_id, CAST(i AS INT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS c FROM embeddings, range(0, 64) t(i)) SELECT vec_id, i, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(c) DESC, i) AS rank FROM e) WHERE rank <= 5""")

@@ -157,11 +157,11 @@ SCALES = [0.2, 0.6, 1.0, 1.4, 1.8]
 
 
 @query("cube_scale_grid", with_views("pts boxes", f"""+ s AS (SELECT unnest([0.2e0, 0.6e0, 1e0, 1.4e0, 1.8e0]) AS s), g AS (SELECT a.s AS sx, b.s AS sy, c.s AS sz FROM s a, s b, s c)
- SELECT box_id, sx, sy, sz, round(sum(exp(-least({PLATES.replace('hx', '(hx * sx)').replace('hy', '(hy * sy)').replace('hz', '(hz * sz)')}))), 5) + 0e0 AS score FROM ({BOXED}), g WHERE pt_id % 10 = 0 GROUP BY box_id, sx, sy, sz"""))
+ SELECT box_id, sx, sy, sz, round(sum(exp(-least({PLATES.replace('hx', '(hx * sx)').replace('hy', '(hy * sy)').replace('hz', '(hz * sz)')}))), 5) + 0e0 AS score FROM ({BOXED}), g GROUP BY box_id, sx, sy, sz"""))
 def cube_scale_grid(v: Views) -> DataFrame:
     """Score of each scale of a cube: the sum of exp(-d^2) to its plates, over a grid of scales."""
     s = F.array(*[F.lit(x) for x in SCALES])
-    grid = boxed(v).where("pt_id % 10 = 0")
+    grid = boxed(v)
     for n in ("sx", "sy", "sz"):
         grid = grid.withColumn(n, F.explode(s))
     half = tuple(F.col(f"h{c}") * F.col(f"s{c}") for c in "xyz")

@@ -13,36 +13,31 @@ from cloudloom.plans.registry import query, rounded
 from cloudloom.sources.views import Views, with_views
 
 PAIR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
-FEW = "few AS (SELECT * FROM pts WHERE pt_id % 5 = 0)"
-KNN = f"SELECT *, row_number() OVER (PARTITION BY frame_id, pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.frame_id, a.pt_id, b.pt_id AS nb, {PAIR} AS d2 FROM few a JOIN few b ON a.frame_id = b.frame_id)"
+KNN = f"SELECT *, row_number() OVER (PARTITION BY frame_id, pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.frame_id, a.pt_id, b.pt_id AS nb, {PAIR} AS d2 FROM pts a JOIN pts b ON a.frame_id = b.frame_id)"
 
 
-def few(v: Views) -> DataFrame:
-    return v.pts.where("pt_id % 5 = 0")
-
-
-@query("knn_join", with_views("pts", f"+ {FEW} SELECT frame_id, pt_id, nb, round(d2, 6) + 0e0 AS d2, CAST(rank AS BIGINT) AS rank FROM ({KNN}) WHERE rank <= 5"))
+@query("knn_join", with_views("pts", f"SELECT frame_id, pt_id, nb, round(d2, 6) + 0e0 AS d2, CAST(rank AS BIGINT) AS rank FROM ({KNN}) WHERE rank <= 5"))
 def knn_join(v: Views) -> DataFrame:
-    return S.knn_join(few(v), few(v), 5, 0.5).select("frame_id", "pt_id", "nb", rounded(F.col("d2"), "d2"), "rank")
+    return S.knn_join(v.pts, v.pts, 5, 0.5).select("frame_id", "pt_id", "nb", rounded(F.col("d2"), "d2"), "rank")
 
 
 def radius_sql(measure: str, limit: str) -> str:
-    return with_views("pts", f"+ {FEW} SELECT a.frame_id, a.pt_id, b.pt_id AS nb FROM few a JOIN few b ON a.frame_id = b.frame_id WHERE {measure} < {limit}")
+    return with_views("pts", f"SELECT a.frame_id, a.pt_id, b.pt_id AS nb FROM pts a JOIN pts b ON a.frame_id = b.frame_id WHERE {measure} < {limit}")
 
 
 @query("radius_join_l2", radius_sql(PAIR, "0.3e0 * 0.3e0"))
 def radius_join_l2(v: Views) -> DataFrame:
-    return S.radius_join(few(v), few(v), 0.3).select("frame_id", "pt_id", "nb")
+    return S.radius_join(v.pts, v.pts, 0.3).select("frame_id", "pt_id", "nb")
 
 
 @query("radius_join_l1", radius_sql("abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z)", "0.3e0"))
 def radius_join_l1(v: Views) -> DataFrame:
-    return S.radius_join(few(v), few(v), 0.3, "l1").select("frame_id", "pt_id", "nb")
+    return S.radius_join(v.pts, v.pts, 0.3, "l1").select("frame_id", "pt_id", "nb")
 
 
 @query("radius_join_linf", radius_sql("greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z))", "0.3e0"))
 def radius_join_linf(v: Views) -> DataFrame:
-    return S.radius_join(few(v), few(v), 0.3, "linf").select("frame_id", "pt_id", "nb")
+    return S.radius_join(v.pts, v.pts, 0.3, "linf").select("frame_id", "pt_id", "nb")
 
 
 @query("nn_label_fill", with_views("pts", f"""+ n AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.frame_id, a.pt_id, b.pt_id AS nb, b.label AS fill, {PAIR} AS d2 FROM pts a JOIN pts b ON a.frame_id = b.frame_id WHERE a.label = 0 AND b.label <> 0))
@@ -67,12 +62,20 @@ def closest_error_normals(v: Views) -> DataFrame:
     return S.closest_error(p.where("label = 1"), p.where("label = 2"), 0.4, normals=True).select("frame_id", rounded(F.col("error"), "error"))
 
 
-@query("align_around_z", with_views("pts", """+ s AS (SELECT * FROM pts WHERE pt_id % 40 = 0), u AS (SELECT frame_id, pt_id, CAST(k AS INT) AS step, cos(2 * pi() * k / 12) * x - sin(2 * pi() * k / 12) * y AS x, sin(2 * pi() * k / 12) * x + cos(2 * pi() * k / 12) * y AS y, z FROM s, range(0, 12) t(k)),
- e AS (SELECT frame_id, step, avg(sqrt(d2)) AS error FROM (SELECT a.frame_id, a.step, a.pt_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d2 FROM u a JOIN (SELECT * FROM pts WHERE pt_id % 40 = 8) b ON b.frame_id = 0 AND a.frame_id = 0 GROUP BY a.frame_id, a.step, a.pt_id) GROUP BY frame_id, step)
- SELECT frame_id, step, round(error, 6) + 0e0 AS error FROM e ORDER BY error, step LIMIT 1"""))
+NEXT = "nx AS (SELECT CAST((frame_id + 7) % 8 AS INT) AS frame_id, pt_id, x, y, z, r, g, b FROM pts)"
+
+
+def next_frame(points: DataFrame) -> DataFrame:
+    """Each frame's points as the target of the frame before (of eight, the last one's is the first)."""
+    return points.withColumn("frame_id", F.pmod(F.col("frame_id") + 7, F.lit(8)).cast("int"))
+
+
+@query("align_around_z", with_views("pts", f"""+ {NEXT}, u AS (SELECT frame_id, pt_id, CAST(k AS INT) AS step, cos(2 * pi() * k / 12) * x - sin(2 * pi() * k / 12) * y AS x, sin(2 * pi() * k / 12) * x + cos(2 * pi() * k / 12) * y AS y, z FROM pts, range(0, 12) t(k)),
+ e AS (SELECT frame_id, step, avg(sqrt(d2)) AS error FROM (SELECT a.frame_id, a.step, a.pt_id, min({PAIR}) AS d2 FROM u a JOIN nx b ON b.frame_id = a.frame_id GROUP BY a.frame_id, a.step, a.pt_id) GROUP BY frame_id, step)
+ SELECT frame_id, step, round(error, 6) + 0e0 AS error FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY error, step) AS best FROM e) WHERE best = 1"""))
 def align_around_z(v: Views) -> DataFrame:
-    source, target = v.pts.where("pt_id % 40 = 0 AND frame_id = 0"), v.pts.where("pt_id % 40 = 8 AND frame_id = 0")
-    return S.align_around_z(source, target, 1.0, 12).select("frame_id", "step", rounded(F.col("error"), "error"))
+    """The yaw that lays each frame best on the next one."""
+    return S.align_around_z(v.pts, next_frame(v.pts), 0.5, 12).select("frame_id", "step", rounded(F.col("error"), "error"))
 
 
 @query("voxel_adjacency", with_views("pts sv_edges", "SELECT frame_id, a, b FROM sv_edges"))
@@ -127,9 +130,9 @@ def get_subgraph(v: Views) -> DataFrame:
     return R.subgraph(v.svpts.where("label = 1"), v.sv_edges)[1].select("frame_id", "na", "nb")
 
 
-@query("nn_min_dist", with_views("svpts sv_edges", f"SELECT e.frame_id, e.a, e.b, round(min({PAIR.replace('a.', 'p.').replace('b.', 'q.')}), 6) + 0e0 AS d2 FROM sv_edges e JOIN svpts p ON e.frame_id = p.frame_id AND e.a = p.sv JOIN svpts q ON e.frame_id = q.frame_id AND e.b = q.sv WHERE e.frame_id < 2 GROUP BY e.frame_id, e.a, e.b"))
+@query("nn_min_dist", with_views("svpts sv_edges", f"SELECT e.frame_id, e.a, e.b, round(min({PAIR.replace('a.', 'p.').replace('b.', 'q.')}), 6) + 0e0 AS d2 FROM sv_edges e JOIN svpts p ON e.frame_id = p.frame_id AND e.a = p.sv JOIN svpts q ON e.frame_id = q.frame_id AND e.b = q.sv GROUP BY e.frame_id, e.a, e.b"))
 def nn_min_dist(v: Views) -> DataFrame:
-    return min_distance(v.svpts, v.sv_edges.where("frame_id < 2")).select("frame_id", "a", "b", rounded(F.col("d2"), "d2"))
+    return min_distance(v.svpts, v.sv_edges).select("frame_id", "a", "b", rounded(F.col("d2"), "d2"))
 
 
 def min_distance(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -170,18 +173,18 @@ def voxel_similarity(v: Views) -> DataFrame:
     return similarity(v).select("frame_id", "a", "b", rounded(F.col("w"), "w"))
 
 
-@query("match", with_views("pts", """+ s AS (SELECT * FROM pts WHERE frame_id = 0 AND pt_id % 16 = 0), t AS (SELECT * FROM pts WHERE frame_id = 0 AND pt_id % 16 = 8),
- n AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.pt_id, b.pt_id AS nb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2, pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2) AS col FROM s a, t b)),
- m AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY col, nb) AS best FROM n WHERE rank <= 5)
- SELECT pt_id, nb, round(1 / (1 + d2 / 0.1e0), 6) + 0e0 AS geo FROM m WHERE best = 1"""))
+@query("match", with_views("pts", f"""+ {NEXT},
+ n AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.frame_id, a.pt_id, b.pt_id AS nb, {PAIR} AS d2, pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2) AS col FROM pts a JOIN nx b ON a.frame_id = b.frame_id)),
+ m AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pt_id ORDER BY col, nb) AS best FROM n WHERE rank <= 5)
+ SELECT frame_id, pt_id, nb, round(1 / (1 + d2 / 0.1e0), 6) + 0e0 AS geo FROM m WHERE best = 1"""))
 def match(v: Views) -> DataFrame:
-    """Of the five nearest points the one most alike in colour, and its geometric score."""
-    s, t = v.pts.where("frame_id = 0 AND pt_id % 16 = 0"), v.pts.where("frame_id = 0 AND pt_id % 16 = 8")
-    near = S.knn_join(s, t, 5, 0.6)
-    both = near.join(s.select("pt_id", "r", "g", "b"), "pt_id").join(t.select(F.col("pt_id").alias("nb"), *[F.col(c).alias("n_" + c) for c in "rgb"]), "nb")
+    """Of the five nearest points of the next frame the one most alike in colour, and its geometric score."""
+    s, t = v.pts, next_frame(v.pts)
+    near = S.knn_join(s, t, 5, 0.4)
+    both = near.join(s.select("frame_id", "pt_id", "r", "g", "b"), ["frame_id", "pt_id"]).join(t.select("frame_id", F.col("pt_id").alias("nb"), *[F.col(c).alias("n_" + c) for c in "rgb"]), ["frame_id", "nb"])
     col = sum((F.pow(F.col(c) - F.col("n_" + c), 2) for c in "gb"), F.pow(F.col("r") - F.col("n_r"), 2))
-    best = both.groupBy("pt_id").agg(F.min(F.struct(col.alias("col"), "nb", "d2")).alias("m"))
-    return best.select("pt_id", "m.nb", rounded(G.radial(F.col("m.d2"), 0.1), "geo"))
+    best = both.groupBy("frame_id", "pt_id").agg(F.min(F.struct(col.alias("col"), "nb", "d2")).alias("m"))
+    return best.select("frame_id", "pt_id", "m.nb", rounded(G.radial(F.col("m.d2"), 0.1), "geo"))
 
 
 @query("match_patch", with_views("pts nrm", f"""+ p AS (SELECT pts.*, nx, ny, nz FROM pts JOIN nrm USING (frame_id, pt_id)),
@@ -194,25 +197,25 @@ def match_patch(v: Views) -> DataFrame:
     return near.groupBy("frame_id").agg(rounded(F.avg(G.dot(G.vec("n"), G.vec("m")) / (1 + 10 * F.sqrt("d2"))), "score"))
 
 
-@query("pix_to_object", with_views("pts", f"""+ n AS (SELECT a.frame_id, a.pt_id, b.label AS obj, min({PAIR}) AS d2 FROM (SELECT * FROM pts WHERE pt_id % 10 = 0) a JOIN (SELECT * FROM pts WHERE label > 0) b ON a.frame_id = b.frame_id GROUP BY a.frame_id, a.pt_id, b.label)
+@query("pix_to_object", with_views("pts", f"""+ n AS (SELECT a.frame_id, a.pt_id, b.label AS obj, min({PAIR}) AS d2 FROM pts a JOIN (SELECT * FROM pts WHERE label > 0) b ON a.frame_id = b.frame_id GROUP BY a.frame_id, a.pt_id, b.label)
  SELECT frame_id, pt_id, obj, round(CASE WHEN 1 + sqrt(d2) / 0.5e0 > 1.1e0 * (1 / 0.5e0) THEN 2.2e0 ELSE 1 + sqrt(d2) / 0.5e0 END, 6) + 0e0 AS cost FROM n"""))
 def pix_to_object(v: Views) -> DataFrame:
     """Data term of a point for each object: 1 + d / threshold, cut off."""
     known = v.pts.where("label > 0").withColumn("obj", F.col("label"))
-    source = v.pts.where("pt_id % 10 = 0").crossJoin(F.broadcast(v.spark.range(1, 5).select(F.col("id").cast("int").alias("obj"))))
+    source = v.pts.crossJoin(F.broadcast(v.spark.range(1, 5).select(F.col("id").cast("int").alias("obj"))))
     near = S.knn_join(source, known, 1, 0.5, by=("frame_id", "obj"))
     cost = 1 + F.sqrt("d2") / 0.5
     return near.select("frame_id", "pt_id", "obj", rounded(F.when(cost > 2.2, 2.2).otherwise(cost), "cost"))
 
 
-@query("extract_patch_expand", with_views("pts", f"+ {FEW} SELECT DISTINCT frame_id, label, pt_id FROM (SELECT frame_id, label, pt_id FROM few WHERE label > 0 UNION ALL SELECT k.frame_id, f.label, k.nb FROM ({KNN}) k JOIN few f USING (frame_id, pt_id) WHERE rank <= 4 AND f.label > 0)"))
+@query("extract_patch_expand", with_views("pts", f"SELECT DISTINCT frame_id, label, pt_id FROM (SELECT frame_id, label, pt_id FROM pts WHERE label > 0 UNION ALL SELECT k.frame_id, f.label, k.nb FROM ({KNN}) k JOIN pts f USING (frame_id, pt_id) WHERE rank <= 4 AND f.label > 0)"))
 def extract_patch_expand(v: Views) -> DataFrame:
-    return R.patch_with_neighbours(few(v), S.knn_join(few(v), few(v), 4, 0.5)).select("frame_id", "label", "pt_id")
+    return R.patch_with_neighbours(v.pts, S.knn_join(v.pts, v.pts, 4, 0.5)).select("frame_id", "label", "pt_id")
 
 
-@query("extract_patch_radius", with_views("pts", f"+ {FEW} SELECT DISTINCT a.frame_id, a.label, b.pt_id FROM few a JOIN few b ON a.frame_id = b.frame_id WHERE a.label > 0 AND {PAIR} < 0.25e0 * 0.25e0"))
+@query("extract_patch_radius", with_views("pts", f"SELECT DISTINCT a.frame_id, a.label, b.pt_id FROM pts a JOIN pts b ON a.frame_id = b.frame_id WHERE a.label > 0 AND {PAIR} < 0.25e0 * 0.25e0"))
 def extract_patch_radius(v: Views) -> DataFrame:
-    return R.patch_with_neighbours(few(v), S.radius_join(few(v), few(v), 0.25)).select("frame_id", "label", "pt_id")
+    return R.patch_with_neighbours(v.pts, S.radius_join(v.pts, v.pts, 0.25)).select("frame_id", "label", "pt_id")
 
 
 @query("sort_agd", with_views("svpts supervoxels", "SELECT frame_id, pt_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY size DESC, sv, pt_id) AS BIGINT) AS place FROM svpts JOIN supervoxels s USING (frame_id, sv)"))
@@ -220,10 +223,10 @@ def sort_agd(v: Views) -> DataFrame:
     return R.sort_by_value(v.svpts, v.supervoxels, "size").select("frame_id", "pt_id", "place")
 
 
-@query("two_hop_edges", with_views("sv_edges", """+ s AS (SELECT frame_id, a, b FROM sv_edges WHERE frame_id < 2 UNION ALL SELECT frame_id, b, a FROM sv_edges WHERE frame_id < 2)
- SELECT frame_id, a, b FROM sv_edges WHERE frame_id < 2 UNION SELECT x.frame_id, x.a, y.b FROM s x JOIN s y ON x.frame_id = y.frame_id AND x.b = y.a WHERE x.a < y.b"""))
+@query("two_hop_edges", with_views("sv_edges", """+ s AS (SELECT frame_id, a, b FROM sv_edges UNION ALL SELECT frame_id, b, a FROM sv_edges)
+ SELECT frame_id, a, b FROM sv_edges UNION SELECT x.frame_id, x.a, y.b FROM s x JOIN s y ON x.frame_id = y.frame_id AND x.b = y.a WHERE x.a < y.b"""))
 def two_hop_edges(v: Views) -> DataFrame:
-    return R.two_hop(v.sv_edges.where("frame_id < 2"))
+    return R.two_hop(v.sv_edges)
 
 
 @query("semi_anti", with_views("pts", "SELECT frame_id, CAST(sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS BIGINT) AS known, CAST(sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS BIGINT) AS unknown FROM pts GROUP BY frame_id"))
@@ -314,10 +317,10 @@ def affinity_debug(v: Views) -> DataFrame:
     return w.join(F.broadcast(span), "frame_id").select("frame_id", "a", "b", rounded((F.col("w") - F.col("lo")) / (F.col("hi") - F.col("lo")), "shade"))
 
 
-@query("bounded_heap_k", with_views("supervoxels", "SELECT frame_id, a, b, CAST(rank AS BIGINT) AS rank FROM (SELECT p.frame_id, p.sv AS a, q.sv AS b, row_number() OVER (PARTITION BY p.frame_id, p.sv ORDER BY pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) + pow(p.cz - q.cz, 2), q.sv) AS rank FROM supervoxels p JOIN supervoxels q ON p.frame_id = q.frame_id AND p.sv <> q.sv WHERE p.frame_id = 0) WHERE rank <= 3"))
+@query("bounded_heap_k", with_views("supervoxels", "SELECT frame_id, a, b, CAST(rank AS BIGINT) AS rank FROM (SELECT p.frame_id, p.sv AS a, q.sv AS b, row_number() OVER (PARTITION BY p.frame_id, p.sv ORDER BY pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) + pow(p.cz - q.cz, 2), q.sv) AS rank FROM supervoxels p JOIN supervoxels q ON p.frame_id = q.frame_id AND p.sv <> q.sv) WHERE rank <= 3"))
 def bounded_heap_k(v: Views) -> DataFrame:
     """The three nearest segments of each segment."""
-    s = v.supervoxels.where("frame_id = 0").select("frame_id", F.col("sv").alias("pt_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    s = v.supervoxels.select("frame_id", F.col("sv").alias("pt_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     near = S.knn_join(s, s, 4, 1.0).where("pt_id <> nb")
     order = Window.partitionBy("frame_id", "pt_id").orderBy("rank")
     return near.select("frame_id", F.col("pt_id").alias("a"), F.col("nb").alias("b"), F.row_number().over(order).cast("long").alias("rank")).where("rank <= 3")
@@ -358,11 +361,10 @@ def voxel_similarity2(v: Views) -> DataFrame:
     return e.select("frame_id", "a", "b", rounded(w, "w"))
 
 
-@query("match_sv", with_views("svpts", """+ s AS (SELECT * FROM svpts WHERE frame_id = 0 AND pt_id % 16 = 0), t AS (SELECT * FROM svpts WHERE frame_id = 0 AND pt_id % 16 = 8),
- n AS (SELECT sv, pt_id, d2, nb, row_number() OVER (PARTITION BY pt_id ORDER BY d2, nb) AS rank FROM (SELECT a.sv, a.pt_id, b.pt_id AS nb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM s a, t b))
- SELECT sv, round(avg(1 / (1 + d2 / 0.1e0)), 6) + 0e0 AS geo FROM n WHERE rank = 1 GROUP BY sv"""))
+@query("match_sv", with_views("pts svpts", f"""+ {NEXT},
+ n AS (SELECT a.frame_id, a.sv, a.pt_id, min({PAIR}) AS d2 FROM svpts a JOIN nx b ON a.frame_id = b.frame_id GROUP BY a.frame_id, a.sv, a.pt_id)
+ SELECT frame_id, sv, round(avg(1 / (1 + d2 / 0.1e0)), 6) + 0e0 AS geo FROM n GROUP BY frame_id, sv"""))
 def match_sv(v: Views) -> DataFrame:
-    """Geometric score of each supervoxel against another set: mean over its points."""
-    s, t = v.svpts.where("frame_id = 0 AND pt_id % 16 = 0"), v.svpts.where("frame_id = 0 AND pt_id % 16 = 8")
-    near = S.knn_join(s, t, 1, 0.6).join(s.select("pt_id", "sv"), "pt_id")
-    return near.groupBy("sv").agg(rounded(F.avg(G.radial(F.col("d2"), 0.1)), "geo"))
+    """Geometric score of each supervoxel against the next frame: mean over its points."""
+    near = S.knn_join(v.svpts, next_frame(v.pts), 1, 0.4).join(v.svpts.select("frame_id", "pt_id", "sv"), ["frame_id", "pt_id"])
+    return near.groupBy("frame_id", "sv").agg(rounded(F.avg(G.radial(F.col("d2"), 0.1)), "geo"))
