@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from cloudloom.llm import _text as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHED = 800_000  # pieces kept: the first half as they are met, the others when they are met again
+CACHED = 400_000  # pieces kept: the first half as they are met, the others when they are met again
 SPECIAL = "<|"
 SEEN = 1 << 22  # places of the table of words that were met once
 ODD_SPACES = r"[\s\v\x{85}\p{Z}] (?:[\s\v\x{85}\p{Z}]|$)"

@@ -33,6 +33,7 @@ from cloudloom.llm._tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
 GROUPS = 512
+SLICE_BYTES = 3 << 20  # of texts encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
@@ -42,7 +43,7 @@ def cut(path: str, capacity: int, end_id: int):
     def run(batches):
         encode = encoder(path, True).encode
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, limit=SLICE_BYTES):
             ends, ids = encode(T.texts_of(batch))
             docs = batch.column("doc_id").to_pylist()
             out = [[] for _ in range(7)]
