@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cloudloom.llm import exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, warc, wavelet
+from cloudloom.llm import exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, turn_repair, warc, wavelet
 from cloudloom.llm._common import Workspace
 
 
@@ -58,6 +59,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(Workspace(spark), documents(spark, sf_dir)).drop("rid")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turn_repair.repair(rows).withColumn("repaired_sha256", turn_repair.digest(F.col("repaired"))).drop("turns", "repaired")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -69,9 +75,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_wavelet": op9_wavelet,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 ORACLES = {
+    "op11_turn_repair": turn_repair.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op6_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, sha256(coalesce(html, '')) as g from pages),
