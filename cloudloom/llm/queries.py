@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, turn_repair, warc, wavelet
+from cloudloom.llm import divergence, exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, turn_repair, warc, wavelet
 from cloudloom.llm._common import Workspace
 
 
@@ -64,6 +64,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(rows).withColumn("repaired_sha256", turn_repair.digest(F.col("repaired"))).drop("turns", "repaired")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(Workspace(spark), documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -76,9 +80,11 @@ QUERIES = {
     "op9_wavelet": op9_wavelet,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_turn_repair": op11_turn_repair,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLES = {
+    "op12_divergence": divergence.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op6_warc": """
