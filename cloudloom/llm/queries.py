@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import divergence, exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, turn_repair, warc, wavelet
+from cloudloom.llm import anchors, divergence, exact_dedup, html_text, mixing, packing, quality, sharding, sketch_join, toxicity, turn_repair, warc, wavelet
 from cloudloom.llm._common import Workspace
 
 
@@ -68,6 +68,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(Workspace(spark), documents(spark, sf_dir))
 
 
+def op13_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = anchors.dedup(Workspace(spark), documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -81,9 +86,11 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_turn_repair": op11_turn_repair,
     "op12_divergence": op12_divergence,
+    "op13_anchors": op13_anchors,
 }
 
 ORACLES = {
+    "op13_anchors": anchors.ORACLE,
     "op12_divergence": divergence.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
     "op7_mixing": mixing.ORACLE,
