@@ -15,6 +15,7 @@ from cloudloom.operators import models as M
 from cloudloom.operators import register as G
 from cloudloom.operators import segment as Z
 from cloudloom.operators import spatial as S
+from cloudloom.operators import tree
 from cloudloom.plans.catalog_models import patch_feature, sv_costs, sv_weights
 from cloudloom.plans.catalog_spatial import spectral_affinity, with_ends
 from cloudloom.plans.registry import query, rounded
@@ -236,7 +237,12 @@ def extract_planes(v: Views) -> DataFrame:
 
 @query("hierarchicalization")
 def hierarchicalization(v: Views) -> DataFrame:
-    return M.hierarchy(v.pts.join(v.nrm, ["frame_id", "pt_id"]))
+    """The deepest node of each point in its frame's tree of planes and objects; heights are spread so that hours are floors."""
+    p = written(v.pts.select("frame_id", "pt_id", "x", "y", (F.col("z") * 4).alias("z")))
+    near = written(S.knn_join(p, p, 8, 0.5).select("frame_id", "pt_id", "nb"))
+    normals = E.point_normals(p, near).select("frame_id", "pt_id", "nx", "ny", "nz")
+    labels, nodes = tree.region_tree(p.join(normals, ["frame_id", "pt_id"], "left"), near)
+    return labels.join(nodes.select("frame_id", "node", "parent", "is_obj", "depth"), ["frame_id", "node"], "left").select("frame_id", "pt_id", "node", "parent", "is_obj", "depth")
 
 
 def cut(method: str):
