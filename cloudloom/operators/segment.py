@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators import aggregates as A
+from cloudloom.operators.messages import passes, smoothness
 from cloudloom.sources.shared import shared_folder
 
 FRAME = ("frame_id",)
@@ -267,26 +268,21 @@ def swap(cost: np.ndarray, edges: np.ndarray, w: np.ndarray, rounds: int = 5) ->
     return label
 
 
-def max_product(cost: np.ndarray, edges: np.ndarray, w: np.ndarray, rounds: int = 30, damp: float = 0.5, sequential: bool = False, reweight: bool = False) -> np.ndarray:
-    """Loopy belief propagation by minimum sums with Potts costs; ``reweight`` divides by the nodes' degrees (tree-reweighted)."""
+def max_product(cost: np.ndarray, edges: np.ndarray, w: np.ndarray, rounds: int = 30, damp: float = 0.5) -> np.ndarray:
+    """Loopy belief propagation by minimum sums with Potts costs, all messages at once; of start and end, the labels of less energy."""
     n, m = cost.shape
     src = np.concatenate([edges[:, 0], edges[:, 1]])
     dst = np.concatenate([edges[:, 1], edges[:, 0]])
     ww = np.concatenate([w, w])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(src), m))
-    gamma = np.ones(n)
-    if reweight:
-        gamma = 1 / np.maximum(1, np.ceil(np.bincount(src, minlength=n) / 2))
-    order = np.argsort(src, kind="stable") if sequential else None
     for _ in range(rounds):
-        for part in np.array_split(order, 4) if sequential else [np.arange(len(src))]:
-            belief = cost.copy()
-            np.add.at(belief, dst, message)
-            h = gamma[src[part], None] * belief[src[part]] - message[back[part]]
-            new = np.minimum(h, h.min(1, keepdims=True) + ww[part, None])
-            new -= new.min(1, keepdims=True)
-            message[part] = damp * message[part] + (1 - damp) * new
+        belief = cost.copy()
+        np.add.at(belief, dst, message)
+        h = belief[src] - message[back]
+        new = np.minimum(h, h.min(1, keepdims=True) + ww[:, None])
+        new -= new.min(1, keepdims=True)
+        message = damp * message + (1 - damp) * new
     belief = cost.copy()
     np.add.at(belief, dst, message)
     label = belief.argmin(1)
@@ -316,7 +312,7 @@ def icm(cost: np.ndarray, edges: np.ndarray, w: np.ndarray, rounds: int = 10) ->
 
 SOLVERS = {
     "expansion": expansion, "swap": swap, "max_product": max_product, "icm": icm,
-    "bp_s": lambda c, e, w: max_product(c, e, w, sequential=True), "trw_s": lambda c, e, w: max_product(c, e, w, sequential=True, reweight=True),
+    "bp_s": lambda c, e, w: passes(c, e, w, smoothness(c.shape[1]), reweighted=False)[0], "trw_s": lambda c, e, w: passes(c, e, w, smoothness(c.shape[1]))[0],
 }
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators import lattice as T
+from cloudloom.operators import messages as M
+from cloudloom.plans.catalog_models import sv_costs, sv_weights
 from cloudloom.plans.registry import query, rounded
 from cloudloom.sources.shared import written
 from cloudloom.sources.views import Views, with_views
@@ -71,3 +73,10 @@ def dense_crf_kl(v: Views) -> DataFrame:
         out = part if out is None else out.unionByName(part)
         q = f.step(q) if t < 2 else q
     return out
+
+
+@query("mrf_trw_s_bound")
+def mrf_trw_s_bound(v: Views) -> DataFrame:
+    """Energy of each frame's supervoxel labels and the lower bound that tree-reweighted messages prove, with costs cut off at two."""
+    graphs = M.solve(sv_costs(v), sv_weights(v), kind="l1", most=2.0)[1]
+    return graphs.select("frame_id", "nodes", "rounds", rounded(F.col("energy"), "energy"), rounded(F.col("bound"), "bound"))
