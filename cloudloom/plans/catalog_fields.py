@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cloudloom.operators import lattice as T
 from cloudloom.operators import messages as M
+from cloudloom.operators import spectra as P
 from cloudloom.plans.catalog_models import sv_costs, sv_weights
+from cloudloom.plans.catalog_spatial import spectral_affinity
 from cloudloom.plans.registry import query, rounded
 from cloudloom.sources.shared import written
 from cloudloom.sources.views import Views, with_views
@@ -80,3 +82,9 @@ def mrf_trw_s_bound(v: Views) -> DataFrame:
     """Energy of each frame's supervoxel labels and the lower bound that tree-reweighted messages prove, with costs cut off at two."""
     graphs = M.solve(sv_costs(v), sv_weights(v), kind="l1", most=2.0)[1]
     return graphs.select("frame_id", "nodes", "rounds", rounded(F.col("energy"), "energy"), rounded(F.col("bound"), "bound"))
+
+
+@query("eigs_edges")
+def eigs_edges(v: Views) -> DataFrame:
+    """The four smallest values of each frame's scaled graph Laplacian, with their residual bounds, by steps over edges."""
+    return P.smallest(v.supervoxels, written(spectral_affinity(v)), 4, tolerance=1e-4, every=10)[0]
