@@ -127,32 +127,6 @@ def extract_planes(points: DataFrame, k: int, threshold: float = 0.05, by: Seque
     return points.select(*by, "pt_id").join(found, [*by, "pt_id"], "left").select(*by, "pt_id", F.coalesce("plane", F.lit(0)).alias("plane"))
 
 
-def supervoxels(voxels: DataFrame, adjacency: DataFrame, seed_size: float, rounds: int = 4, by: Sequence[str] = FRAME, weights: tuple[float, float, float] = (0.2, 0.8, 0.4)) -> DataFrame:
-    """VCCS-like growth in synchronous rounds: each voxel takes, of its neighbours' supervoxels and its own, the one with the least distance.
-
-    ``voxels(by, sv, cx, cy, cz, nx, ny, nz, r, g, b)`` with ``sv`` as the voxel's number; the result has ``seg`` for each.
-    """
-    wn, wc, ws = weights
-    voxels, adjacency = written(voxels), written(adjacency)
-    cells = voxels.withColumns({f"s{c}": F.floor(F.col(f"c{c}") / seed_size).cast("long") for c in "xyz"})
-    seeds = cells.groupBy(*by, "sx", "sy", "sz").agg(F.min(F.struct(sum((F.pow(F.col(f"c{c}") - (F.col(f"s{c}") + 0.5) * seed_size, 2) for c in "yz"), F.pow(F.col("cx") - (F.col("sx") + 0.5) * seed_size, 2)).alias("d"), "sv")).alias("m")).select(*by, F.col("m.sv").alias("sv"))
-    label = voxels.select(*by, "sv").join(seeds.withColumn("seg", F.col("sv")), [*by, "sv"], "left")
-    both = adjacency.select(*by, "a", "b").union(adjacency.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
-    feature = [*[f"c{c}" for c in "xyz"], *[f"n{c}" for c in "xyz"], *"rgb"]
-    for _ in range(rounds):
-        centre = voxels.join(label.where("seg is not null"), [*by, "sv"]).groupBy(*by, "seg").agg(*[F.avg(c).alias("m_" + c) for c in feature])
-        offers = both.join(label.where("seg is not null").select(*by, F.col("sv").alias("b"), "seg"), [*by, "b"]).select(*by, F.col("a").alias("sv"), "seg").union(label.where("seg is not null").select(*by, "sv", "seg")).distinct()
-        at = offers.join(voxels, [*by, "sv"]).join(centre, [*by, "seg"])
-        dot = sum((F.col(f"n{c}") * F.col(f"m_n{c}") for c in "yz"), F.col("nx") * F.col("m_nx"))
-        len_ = F.sqrt(sum((F.col(f"n{c}") ** 2 for c in "yz"), F.col("nx") ** 2) * sum((F.col(f"m_n{c}") ** 2 for c in "yz"), F.col("m_nx") ** 2))
-        colour = F.sqrt(sum((F.pow(F.col(c) - F.col("m_" + c), 2) for c in "gb"), F.pow(F.col("r") - F.col("m_r"), 2)))
-        space = F.sqrt(sum((F.pow(F.col(f"c{c}") - F.col(f"m_c{c}"), 2) for c in "yz"), F.pow(F.col("cx") - F.col("m_cx"), 2)))
-        d = wn * (1 - F.abs(dot) / F.when(len_ > 0, len_).otherwise(1.0)) + wc * colour / 255.0 + ws * space / seed_size
-        best = at.withColumn("d", F.round(d, 9)).groupBy(*by, "sv").agg(F.min(F.struct("d", "seg")).alias("m")).select(*by, "sv", F.col("m.seg").alias("seg"))
-        label = written(voxels.select(*by, "sv").join(best, [*by, "sv"], "left"))
-    return label
-
-
 def max_flow(n: int, edges: np.ndarray, capacity: np.ndarray, source: int, sink: int) -> np.ndarray:
     """Which nodes are on the source's side of a least cut: Dinic's algorithm on directed capacities."""
     head: list[list[int]] = [[] for _ in range(n)]

@@ -124,8 +124,8 @@ def octree_depth(extent: float, resolution: float) -> int:
     return max(0, math.ceil(math.log2(extent / resolution) + 1e-12)) if extent > resolution else 0
 
 
-def octree_grid(points: DataFrame, resolution: float, by: Sequence[str] = ("frame_id",)) -> DataFrame:
-    """Down-sampling on an octree's leaves: a leaf halves while its extent is not below ``resolution``; means of each leaf.
+def octree_cells(points: DataFrame, resolution: float, by: Sequence[str] = ("frame_id",)) -> DataFrame:
+    """``points`` with their leaf (kx, ky, kz), the frame's ``leaf`` size and corner (ox, oy, oz): a leaf halves while its half extent is not below ``resolution``.
 
     All leaves of a frame have one size, the frame's half extent over 2^depth, so leaves are cells of a grid.
     """
@@ -138,8 +138,13 @@ def octree_grid(points: DataFrame, resolution: float, by: Sequence[str] = ("fram
     at = points.join(F.broadcast(box), list(by))  # a row per frame
     for c in XYZ:
         at = at.withColumn(f"k{c}", F.floor((F.col(c) - F.col(f"o{c}")) / F.when(F.col("leaf") > 0, F.col("leaf")).otherwise(F.lit(1.0))).cast("long"))
+    return at
+
+
+def octree_grid(points: DataFrame, resolution: float, by: Sequence[str] = ("frame_id",)) -> DataFrame:
+    """Down-sampling on an octree's leaves (``octree_cells``): means of each leaf."""
     colours = [F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb" if c in points.columns]
-    return at.groupBy(*by, "kx", "ky", "kz").agg(*[F.avg(c).alias(c) for c in XYZ], *colours, F.count(F.lit(1)).alias("n"))
+    return octree_cells(points, resolution, by).groupBy(*by, "kx", "ky", "kz").agg(*[F.avg(c).alias(c) for c in XYZ], *colours, F.count(F.lit(1)).alias("n"))
 
 
 def leaf_corners(leaves: DataFrame, size: float) -> DataFrame:

@@ -199,11 +199,6 @@ def robust_region(v: Views) -> DataFrame:
     return E.robust_regions(v.supervoxels, spectral_affinity(v))
 
 
-@query("supervoxel")
-def supervoxel(v: Views) -> DataFrame:
-    return Z.supervoxels(v.supervoxels, v.sv_edges, 1.0)
-
-
 @query("region_grow")
 def region_grow(v: Views) -> DataFrame:
     return Z.region_grow(v.pts.join(v.nrm, ["frame_id", "pt_id"]), near(v, 8), 0.9, 3, 100_000)
