@@ -105,7 +105,7 @@ def test_a_distance_of_ones_own(spark):
         apart = F.sqrt((a("x") - b("x")) * (a("x") - b("x")) + (a("y") - b("y")) * (a("y") - b("y")))
         return apart + F.when(F.abs(a("r") - b("r")) > 100, 1000.0).otherwise(0.0)
 
-    run = X.supervoxels(spark.createDataFrame(rows, SCHEMA), 0.12, 1.0, same)
+    run = X.supervoxels(spark.createDataFrame(rows, SCHEMA), 0.12, 0.5, same)
     half = collections.defaultdict(set)
     for r in run.labels().collect():
         half[r.label].add(r.pt_id // 40 >= 20)
