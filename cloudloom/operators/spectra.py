@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cloudloom.sources.shared import written
 
@@ -47,13 +50,19 @@ def smallest(nodes: DataFrame, edges: DataFrame, k: int, kind: str = "N", diagon
         return F.xxhash64("sv", F.lit(seed), F.lit(j)) / float(2**63)
 
     def small(rows: dict, name: str, kind: str) -> DataFrame:
-        return spark.createDataFrame([(*g, v) for g, v in rows.items()], f"{kinds}, {name} {kind}")
-
-    def sums(table: DataFrame, j: int) -> dict:
-        """By graph: products of r with the j vectors, its square, and the nodes."""
-        parts = [F.sum(F.col("q")[i] * F.col("r")) for i in range(j)]
-        rows = table.groupBy(*by).agg(F.array(*parts, F.sum(F.col("r") * F.col("r"))).alias("p"), F.count(F.lit(1)).alias("n")).collect()  # j + 1 numbers a graph
-        return {tuple(r[: len(by)]): (np.array(r["p"], float), r["n"]) for r in rows}
+        """A row for each graph, as a local table: Spark knows its size, and broadcasts it only if that is small."""
+        schema = StructType.fromDDL(f"{kinds}, {name} {kind}")
+        columns = {b: [g[i] for g in rows] for i, b in enumerate(by)} | {name: list(rows.values())}
+        return spark.createDataFrame(pa.Table.from_pydict(columns, schema=to_arrow_schema(schema)), schema)
+
+    def sums(table: DataFrame) -> dict:
+        """By graph: products of r with the vectors so far and its square, and the nodes. The plan is one for any number of vectors, so it's compiled once."""
+        terms = F.transform(F.concat("q", F.array("r")), lambda x: x * F.col("r"))
+        found = table.select(*by, F.posexplode(terms).alias("i", "p")).groupBy(*by, "i").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
+        out: dict = {}
+        for row in sorted(found.collect(), key=lambda row: row["i"]):  # a row for each graph and vector
+            out.setdefault(tuple(row[: len(by)]), ([], row["n"]))[0].append(row["p"])
+        return {g: (np.array(p, float), n) for g, (p, n) in out.items()}
 
     def without(table: DataFrame, parts: dict) -> DataFrame:
         c = small({g: [float(x) for x in p[:-1]] for g, (p, _) in parts.items()}, "c", "array<double>")
@@ -61,7 +70,7 @@ def smallest(nodes: DataFrame, edges: DataFrame, k: int, kind: str = "N", diagon
         return table.join(c, by).withColumn("r", F.col("r") - along).drop("c")
 
     state = at.select(*by, "sv", "diag", F.expr("cast(array() as array<double>)").alias("q"), drawn(0).alias("r"))
-    first = sums(state, 0)
+    first = sums(state)
     if not first:
         return spark.createDataFrame([], f"{kinds}, i int, value double, error double"), at.select(*by, "sv", F.expr("cast(array() as array<double>)").alias("base"))
     length = {g: float(np.sqrt(p[-1])) for g, (p, _) in first.items()}
@@ -78,13 +87,13 @@ def smallest(nodes: DataFrame, edges: DataFrame, k: int, kind: str = "N", diagon
         # graphs whose space is full get zeros from here on
         scale = small({g: 1 / length[g] if len(alpha[g]) < size[g] else 0.0 for g in size}, "scale", "double")
         state = written(state.join(scale, by).select(*by, "sv", "diag", F.concat("q", F.array(F.col("r") * F.col("scale"))).alias("q")))
-        last = state.select(*by, F.col("sv").alias("b"), F.col("q")[j].alias("x"))
+        last = state.select(*by, F.col("sv").alias("b"), F.element_at("q", -1).alias("x"))
         times = entries.join(last, [*by, "b"]).groupBy(*by, F.col("a").alias("sv")).agg(F.sum(F.col("w") * F.col("x")).alias("wx"))
         j += 1
-        table = written(state.join(times, [*by, "sv"], "left").withColumn("r", F.col("diag") * F.col("q")[j - 1] + F.coalesce("wx", F.lit(0.0))).drop("wx"))
-        one = sums(table, j)
+        table = written(state.join(times, [*by, "sv"], "left").withColumn("r", F.col("diag") * F.element_at("q", -1) + F.coalesce("wx", F.lit(0.0))).drop("wx"))
+        one = sums(table)
         table = without(table, one)
-        two = sums(table, j)
+        two = sums(table)
         table = without(table, two)
         for g in size:
             if len(alpha[g]) < size[g]:
@@ -96,9 +105,9 @@ def smallest(nodes: DataFrame, edges: DataFrame, k: int, kind: str = "N", diagon
         if ended:  # what a vector can reach is used up: a new one, across all earlier ones
             table = written(table.join(small(ended, "_new", "boolean"), by, "left").withColumn("r", F.when(F.col("_new"), drawn(j)).otherwise(F.col("r"))).drop("_new"))
             for _ in range(2):
-                parts = sums(table, j)
+                parts = sums(table)
                 table = without(table, {g: (p if g in ended else np.zeros_like(p), n) for g, (p, n) in parts.items()})
-            fresh = sums(table, 0)
+            fresh = sums(table.withColumn("q", F.expr("cast(array() as array<double>)")))
             for g in ended:
                 beta[g][-1], length[g] = 0.0, float(np.sqrt(fresh[g][0][-1]))
         full = all(len(alpha[g]) >= size[g] for g in size)
