@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-CATALOGS = ("catalog_points", "catalog_spatial", "catalog_models", "catalog_learning", "catalog_fields", "catalog_supervoxels")
+CATALOGS = ("catalog_points", "catalog_spatial", "catalog_models", "catalog_learning", "catalog_fields", "catalog_supervoxels", "catalog_starts")
 
 
 def rounded(c: Column, name: str) -> Column:
