@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import geometry as G
+from cloudloom.operators.linalg import hull
 
 FRAME = ("frame_id",)
 XYZ = ("x", "y", "z")
@@ -23,9 +24,29 @@ def bounding_box(points: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
     return box.withColumns({"radius": F.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2]) / 2, "face": F.greatest(e[0] * e[1], e[0] * e[2], e[1] * e[2])})
 
 
+def hull_corners(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What a group's box with a vertical axis depends on: (by, x, y, low, high), the corners of the hulls of each batch of points.
+
+    A group of any size is a few rows for each batch.
+    """
+    by = list(by)
+
+    def corners(batches):
+        for pdf in batches:
+            rows = []
+            for _, g in pdf.groupby(by, sort=False, dropna=False):
+                h = hull(g[["x", "y"]].to_numpy(float))
+                rows.append(pd.DataFrame({**{b: [g[b].iloc[0]] * len(h) for b in by}, "x": h[:, 0], "y": h[:, 1], "low": g.z.min(), "high": g.z.max()}))
+            if rows:
+                yield pd.concat(rows)
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    return points.select(*by, "x", "y", "z").mapInPandas(corners, ", ".join(f"{b} {kinds[b]}" for b in by) + ", x double, y double, low double, high double")
+
+
 def min_box_2d(points: DataFrame, by: Sequence[str] = FRAME, steps: int = 360) -> DataFrame:
-    """The rectangle of least area over whole degrees: (by, step, area, length, width)."""
-    turned = points.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    """The rectangle of least area over whole degrees: (by, step, area, length, width). Only corners of hulls are turned."""
+    turned = hull_corners(points, by).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     a = F.radians(F.col("step").cast("double"))
     u, v = F.cos(a) * F.col("x") + F.sin(a) * F.col("y"), -F.sin(a) * F.col("x") + F.cos(a) * F.col("y")
     size = turned.select(*by, "step", u.alias("u"), v.alias("v")).groupBy(*by, "step").agg((F.max("u") - F.min("u")).alias("length"), (F.max("v") - F.min("v")).alias("width"))

@@ -45,7 +45,16 @@ def color_hist_lab(v: Views) -> DataFrame:
     return A.color_histogram(at, {"lab_l": (0.0, 100.0, 1), "lab_a": (-128.0, 256.0, 8), "lab_b": (-128.0, 256.0, 8)}, ["frame_id", "label"]).select("frame_id", "label", "bin", rounded(F.col("share"), "share"))
 
 
-@query("block_feature")
+BLOCK = f"""+ {TURN}, o AS (SELECT p.frame_id, p.label, m.length, m.width, m.height, cos(radians(step)) * x + sin(radians(step)) * y AS u, -sin(radians(step)) * x + cos(radians(step)) * y AS v, z
+   FROM pts p JOIN m ON p.frame_id = m.frame_id AND p.label = m.label AND m.rank = 1),
+ d AS (SELECT *, {", ".join(f"least({c} - min({c}) OVER w, max({c}) OVER w - {c}) AS d{i}" for i, c in enumerate("uvz"))} FROM o WINDOW w AS (PARTITION BY frame_id, label)),
+ n AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS side FROM d)
+ SELECT frame_id, label, {", ".join(f"round(any_value({c}), 6) + 0e0 AS {c}" for c in ("length", "width", "height"))},
+ {", ".join(f"""round(avg(CASE WHEN side = {i} THEN 1e0 ELSE 0 END), 6) + 0e0 AS share{i}, round(coalesce(avg(d{i}) FILTER (side = {i}), 0), 6) + 0e0 AS mean{i},
+   round(coalesce(stddev_samp(d{i}) FILTER (side = {i}), 0), 6) + 0e0 AS dev{i}""" for i in range(3))} FROM n GROUP BY frame_id, label"""
+
+
+@query("block_feature", with_views("pts", BLOCK))
 def block_feature(v: Views) -> DataFrame:
     f = A.block_feature(v.pts.where("label > 0"), ["frame_id", "label"])
     return f.select("frame_id", "label", *[rounded(F.col(c), c) for c in f.columns[2:]])
