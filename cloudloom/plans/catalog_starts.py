@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.operators import cubes as Q
 from cloudloom.operators import register as G
 from cloudloom.operators import starts as B
 from cloudloom.plans.catalog_models import patch_feature
@@ -62,3 +64,31 @@ def jrcs_init_sihks(v: Views) -> DataFrame:
     votes = v.svpts.groupBy("frame_id", "sv", "label").agg(F.count(F.lit(1)).alias("n"))
     owners = votes.groupBy("frame_id", "sv").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m")).select("frame_id", "sv", (-F.col("m.l")).alias("label"))
     return B.by_heat(nodes, written(spectral_affinity(v)), owners)(v.pts).beliefs
+
+
+SHARED = """+ o AS (SELECT box_id AS obj, x, y, z, cos(yaw) * (x - cx) + sin(yaw) * (y - cy) AS u0, cos(yaw) * (y - cy) - sin(yaw) * (x - cx) AS u1, z - cz AS u2, hx AS h0, hy AS h1, hz AS h2, frame_id, pt_id FROM pts, boxes),
+ """ + "{}" + """ e AS (SELECT *, exp(-d2) * pow(2e0, 1.5e0) + 2.220446049250313e-16 AS e FROM d), q AS (SELECT *, e / (1.00001e0 * sum(e) OVER (PARTITION BY frame_id, pt_id)) AS a FROM e)"""
+FACES = "least(pow(abs(u0) - {0}, 2) + pow(greatest(abs(u1) - {1}, 0), 2) + pow(greatest(u2b - {2}, 0), 2), pow(abs(u1) - {1}, 2) + pow(greatest(abs(u0) - {0}, 0), 2) + pow(greatest(u2b - {2}, 0), 2), pow(u2 - {2}, 2) + pow(greatest(abs(u0) - {0}, 0), 2) + pow(greatest(abs(u1) - {1}, 0), 2))".replace("u2b", "abs(u2)")
+SCORES = SHARED.format(f"d AS (SELECT *, {FACES.format('h0', 'h1', 'h2')} AS d2 FROM o),") + f""",
+ g AS (SELECT i::INT AS i, j::INT AS j, k::INT AS k, 0.5e0 + i / 10e0 AS si, 0.5e0 + j / 10e0 AS sj, 0.5e0 + k / 10e0 AS sk FROM range(0, 11) a(i), range(0, 11) b(j), range(0, 11) c(k))
+ SELECT obj, i, j, k, round(sum(a * exp(-({FACES.format('h0 * si', 'h1 * sj', 'h2 * sk')}))), 5) + 0e0 AS score FROM q, g GROUP BY ALL"""
+
+
+@query("cube_scale_scores", with_views("pts boxes", SCORES))
+def cube_scale_scores(v: Views) -> DataFrame:
+    """How well each box fits the points of all frames with its sides scaled by each combination of eleven steps."""
+    boxes = v.boxes.orderBy("box_id").collect()  # five
+    half = np.array([[r.hx, r.hy, r.hz] for r in boxes])
+    frames = [r.frame_id for r in v.pts.select("frame_id").distinct().collect()]
+    turn = lambda a: np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+    model = Q.Boxes(half, np.full(len(boxes), 2.0), np.full(len(boxes), 1 / len(boxes)), {(f, r.box_id): (turn(r.yaw), np.array([r.cx, r.cy, r.cz])) for f in frames for r in boxes})
+    shares = Q.shared_out(v.pts, model, 1e-5).select(F.explode("s").alias("o")).select("o.*")
+    return Q.scale_scores(shares, half).select("obj", "i", "j", "k", (F.round("score", 5) + 0.0).alias("score"))
+
+
+@query("jrcs_cube_fit")
+def jrcs_cube_fit(v: Views) -> DataFrame:
+    """Poses, half sides and weights of the boxes of four objects after three rounds from a start by the patches' colours."""
+    points = written(v.pts.select("frame_id", "pt_id", "x", "y", "z", "r", "g", "b", "label"))
+    colour = lambda p: p.groupBy("frame_id", "label").agg(F.array(*[F.avg(c) / 255 for c in "rgb"]).alias("feature"))
+    return Q.box_table(v.spark, Q.fit(points, Q.initial(B.by_features(colour, 3)(points)), 3))
