@@ -1,4 +1,4 @@
-"""Queries on the starts of the joint registration."""
+"""Queries on starts of the joint registration, boxes fitted in it, discriminant axes and planes from states that merge."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators import cubes as Q
+from cloudloom.operators import discriminant as D
+from cloudloom.operators import planes as S
 from cloudloom.operators import register as G
 from cloudloom.operators import starts as B
 from cloudloom.plans.catalog_models import patch_feature
@@ -92,3 +94,34 @@ def jrcs_cube_fit(v: Views) -> DataFrame:
     points = written(v.pts.select("frame_id", "pt_id", "x", "y", "z", "r", "g", "b", "label"))
     colour = lambda p: p.groupBy("frame_id", "label").agg(F.array(*[F.avg(c) / 255 for c in "rgb"]).alias("feature"))
     return Q.box_table(v.spark, Q.fit(points, Q.initial(B.by_features(colour, 3)(points)), 3))
+
+
+# sums have four decimals, roots and their ratios no end: neither lies on a half digit, so engines round them alike
+PLANE = "SELECT frame_id, label, CAST(count(*) AS BIGINT) AS n, " + ", ".join([
+    *[f"round(sum({c}), 4) + 0e0 AS sum_{c}, round(stddev_pop({c}), 6) + 0e0 AS dev_{c}" for c in "xyz"],
+    *[f"round(corr({p[0]}, {p[1]}), 6) + 0e0 AS cor_{p}" for p in ("xy", "xz", "yz")],
+]) + " FROM pts GROUP BY frame_id, label"
+
+
+@query("pca_plane_states", with_views("pts", PLANE))
+def pca_plane_states(v: Views) -> DataFrame:
+    """Sums, deviations and correlations of each patch, from the merged states of its points by hour."""
+    state = S.merged(S.states(v.pts, ["frame_id", "label", "z"]), ["frame_id", "label"])
+    out = [c for a in "xyz" for c in ((F.round(F.col(f"m{a}") * F.col("n"), 4) + 0.0).alias(f"sum_{a}"), rounded(F.sqrt(F.col(f"s{a}{a}") / F.col("n")), f"dev_{a}"))]
+    out += [rounded(F.col(f"s{p}") / F.sqrt(F.col(f"s{p[0]}{p[0]}") * F.col(f"s{p[1]}{p[1]}")), f"cor_{p}") for p in ("xy", "xz", "yz")]
+    return state.select("frame_id", "label", "n", *out)
+
+
+@query("pca_plane")
+def pca_plane(v: Views) -> DataFrame:
+    """The plane of each patch and its points' mean squared distance from it."""
+    return S.planes(S.merged(S.states(v.pts, ["frame_id", "label", "z"]), ["frame_id", "label"]), ["frame_id", "label"])
+
+
+@query("lda_gsvd")
+def lda_gsvd(v: Views) -> DataFrame:
+    """Patch features on the two axes that part the labels best; patches may be fewer than a feature's numbers."""
+    rows = written(patch_feature(v))
+    first = rows.select(F.size("feature").alias("n")).first()
+    axes = D.discriminant_axes(rows, "feature", first.n if first else 0, 2)
+    return rows.select("frame_id", "label", *[B.scalar(F.col("feature"), axes[:, k]).alias(f"p{k}") for k in range(axes.shape[1])])
