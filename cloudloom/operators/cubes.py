@@ -122,8 +122,11 @@ def corner_sums(rows: DataFrame, reach: float) -> DataFrame:
 def scale_scores(rows: DataFrame, half: np.ndarray, reach: float = 1.0, open_below: bool = True, steps: Sequence[float] = STEPS, block: int = 512) -> DataFrame:
     """``rows(obj, u0, u1, u2, a)`` → (obj, i, j, k, score): the sum of a exp(-d² / reach²) if the sides are scaled by those steps.
 
-    A task sends the cells of the objects that it met, however many points it has.
+    A task sends the cells of the objects that it met, however many points it has. Rows are narrow and each costs all cells, so they
+    are dealt evenly to the cores first.
     """
+    spark = rows.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n, s = len(steps), np.array(steps, float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +148,7 @@ def scale_scores(rows: DataFrame, half: np.ndarray, reach: float = 1.0, open_bel
         for o, acc in total.items():
             yield pd.DataFrame({"obj": np.full(n**3, o, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "k": k.astype(np.int32), "score": acc.ravel()})
 
-    parts = rows.select("obj", "u0", "u1", "u2", "a").mapInPandas(run, "obj int, i int, j int, k int, score double")
+    parts = rows.select("obj", "u0", "u1", "u2", "a").repartition(tasks).mapInPandas(run, "obj int, i int, j int, k int, score double")
     return parts.groupBy("obj", "i", "j", "k").agg(F.sum("score").alias("score"))
 
 
