@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cloudloom.operators import aggregates as A
+from cloudloom.operators import register as R
 from cloudloom.operators import segment as Z
 from cloudloom.operators import spatial as S
 
@@ -64,3 +65,27 @@ def test_draws_of_planes_sort_no_points(spark):
     assert "xxhash64" not in plan  # the draws are a small table by now
     row = found.first()
     assert row["inliers"] >= 200 and abs(abs(row["c"]) - 1) < 1e-9
+
+
+def test_registration_reads_frames_by_batches(spark):
+    r = np.random.default_rng(7)
+    pts = cloud(spark, r.random((900, 3))).withColumn("label", (F.col("pt_id") % 4).cast("int"))
+    var = R.VARIANTS["jrcs_aopt"]
+    m = R.initial(pts, 4, 2)
+    columns = R.extra_columns(m, var)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        weakest = R.weakest_objects(pts, m, var, columns)
+        got = R.medians(pts, m, var, columns, weakest)[0]
+        most = R.per_batch(pts, m, var, columns, lambda f, pdf, *_: pdf.assign(n=len(pdf))[["n"]], "n long").agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = pts.toPandas()
+    a = R.responsibilities(rows[["x", "y", "z"]].to_numpy(), m, 0, var, {})[0]
+    share = np.array([a[:, m.obj == o].sum() for o in (1, 2)]) / a.sum()
+    for label in (1, 2, 3):
+        own = np.array([a[np.ix_(rows.label == label, m.obj == o)].sum() for o in (1, 2)])
+        worst = 1 + int((own / own.sum() / share).argmin())
+        assert weakest[0, label] == worst
+        a[np.ix_(rows.label == label, m.obj == worst)] = 0
+    assert np.array_equal(got, np.median(a, axis=0)) and most <= 100
