@@ -5,8 +5,9 @@ touch it, is no seed. In a round each voxel that has just changed hands is offer
 a voxel goes to the best offer if that is nearer than what holds it now. All offers of a round are judged together, so the result
 depends on no order of visits; equal offers go to the seed with the lesser key.
 
-Voxels, their links and their owners are tables. A round is an equi-join of what moved with its links, and a least value for each
-voxel; what a seed can reach is bounded by the rounds. No frame and no supervoxel is held by one task.
+Voxels and their owners are tables. Which of the 26 around it a voxel touches are bits of one number, found by blocks of the grid
+with a margin of one voxel. In a round only what moved is spread to what it touches, and joined with the voxels, which stay dealt as
+they are, and the seeds; what a seed can reach is bounded by the rounds. No frame and no supervoxel is held by one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from cloudloom.operators.ranks import places
 from cloudloom.sources.shared import written
 
 FRAME = ("frame_id",)
+BLOCK = 32  # voxels along a block's side
+STEPS = [i * (1 << 42) + j * (1 << 21) + h for i in (-1, 0, 1) for j in (-1, 0, 1) for h in (-1, 0, 1) if (i, j, h) != (0, 0, 0)]  # in packed keys, rising
 FEATURES = ("x", "y", "z", "nx", "ny", "nz", "r", "g", "b")
 Distance = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -72,13 +78,32 @@ def voxelised(points: DataFrame, size: float, by: Sequence[str] = FRAME) -> tupl
     return at.select(*by, "pt_id", "voxel"), written(v)
 
 
-def links(voxels: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
-    """Touching voxels (26 around each), in both directions: (by, a, b)."""
-    pairs = S.voxel_adjacency(voxels, by, "voxel")
-    return written(pairs.withColumn("e", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select(*by, "e.a", "e.b"))
+def touching(voxels: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
+    """(by, voxel, near): a bit for each of ``STEPS`` that leads to a voxel. A block of the grid has at most 34^3 rows."""
+    by = list(by)
+    rows = voxels.select(*by, "voxel", "kx", "ky", "kz")
+    for c in "xyz":
+        rows = rows.withColumn(f"b{c}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"k{c}") + i) / BLOCK).cast("long") for i in (-1, 0, 1)]))))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        own = p[(p.kx // BLOCK == p.bx) & (p.ky // BLOCK == p.by) & (p.kz // BLOCK == p.bz)]
+        keys, at = np.sort(p.voxel.to_numpy()), own.voxel.to_numpy()
+        near = np.zeros(len(at), np.int64)
+        for bit, step in enumerate(STEPS):
+            i = np.minimum(np.searchsorted(keys, at + step), len(keys) - 1)
+            near |= (keys[i] == at + step).astype(np.int64) << bit
+        return own[[*by, "voxel"]].assign(near=near)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.select(*by).schema)
+    return written(rows.groupBy(*by, "bx", "by", "bz").applyInPandas(run, f"{kinds}, voxel long, near long"))
+
+
+def touched(steps: Sequence[int] = range(len(STEPS))) -> Column:
+    """The voxels that a row's ``voxel`` touches by its bits, one a row."""
+    return F.explode(F.array_compact(F.array(*[F.when(F.col("near").bitwiseAND(F.lit(1 << i)) != 0, F.col("voxel") + F.lit(STEPS[i])) for i in steps])))
 
 
-def seeds(voxels: DataFrame, touching: DataFrame, size: float, seed_size: float, least_links: int = 6, share: float = 0.05, by: Sequence[str] = FRAME) -> DataFrame:
+def seeds(voxels: DataFrame, near: DataFrame, size: float, seed_size: float, least_links: int = 6, share: float = 0.05, by: Sequence[str] = FRAME) -> DataFrame:
     """Voxels that may start a supervoxel: (by, voxel).
 
     Around a seed, within half the seeds' spacing, lie more than ``share`` of the voxels of a full disc. The voxel nearest to a
@@ -90,36 +115,41 @@ def seeds(voxels: DataFrame, touching: DataFrame, size: float, seed_size: float,
     middle = cells.select(*by, "kx", "ky", "kz", "ox", "oy", "oz", "leaf").distinct()
     middle = middle.select(*by, "kx", "ky", "kz", *[m.alias(f"m{c}") for c, m in middles(middle).items()])
     d = sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "yz"), (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")))
-    asked = S.around(cells.select(*by, "voxel", "x", "y", "z", "kx", "ky", "kz")).join(middle, [*by, "kx", "ky", "kz"])
-    nearest = asked.groupBy(*by, "kx", "ky", "kz").agg(F.min(F.struct(F.round(d, 9).alias("d"), "voxel")).alias("m")).select(*by, "m.voxel").distinct()
+    # leaves, which are few, are spread and not voxels
+    spread = S.around(middle.withColumns({f"a{c}": F.col(f"k{c}") for c in "xyz"}))
+    asked = cells.select(*by, "voxel", "x", "y", "z", "kx", "ky", "kz").join(spread, [*by, "kx", "ky", "kz"])
+    nearest = asked.groupBy(*by, "ax", "ay", "az").agg(F.min(F.struct(F.round(d, 9).alias("d"), "voxel")).alias("m")).select(*by, "m.voxel").distinct()
     nearest = written(nearest)
     radius = 0.5 * seed_size
     some = spots.join(nearest, [*by, "voxel"], "left_semi")
-    full = S.radius_join(some, spots, radius, by=by, key="voxel").groupBy(*by, "voxel").agg(F.count(F.lit(1)).alias("n"))
+    full = S.radius_join(spots, some, radius, by=by, key="voxel").groupBy(*by, F.col("nb").alias("voxel")).agg(F.count(F.lit(1)).alias("n"))
     full = full.where(F.col("n") > share * math.pi * radius * radius / (size * size)).select(*by, "voxel")
-    met = touching.groupBy(*by, F.col("a").alias("voxel")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_links).select(*by, "voxel")
+    met = near.where(F.bit_count("near") >= least_links).select(*by, "voxel")
     return full.join(met, [*by, "voxel"])
 
 
-def grown(voxels: DataFrame, touching: DataFrame, starts: DataFrame, rounds: int, distance: Distance, by: Sequence[str] = FRAME) -> DataFrame:
-    """(by, voxel, seed, d): who holds each voxel after the rounds, null where no wavefront came. Ends early if nothing moves."""
+def grown(voxels: DataFrame, near: DataFrame, starts: DataFrame, rounds: int, distance: Distance, by: Sequence[str] = FRAME) -> DataFrame:
+    """(by, voxel, near, seed, d): who holds each voxel after the rounds, null where no wavefront came. Ends early if nothing moves."""
     by = list(by)
-    feature = voxels.select(*by, "voxel", *FEATURES)
+    parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    feature = voxels.select(*by, "voxel", *FEATURES).repartition(parts, *by, "voxel").persist(StorageLevel.DISK_ONLY)  # dealt once for all rounds
     centre = written(feature.join(starts, [*by, "voxel"], "left_semi").select(*by, F.col("voxel").alias("seed"), *[F.col(c).alias(f"seed_{c}") for c in FEATURES]))
-    first = feature.select(*by, "voxel").join(centre.select(*by, F.col("seed").alias("voxel"), F.col("seed")), [*by, "voxel"], "left")
-    owner = written(first.select(*by, "voxel", "seed", F.when(F.col("seed").isNotNull(), 0.0).alias("d"), F.col("seed").isNotNull().alias("moved")))
+    few = centre.count() <= 300_000  # counted rows of ten numbers
+    first = near.join(centre.select(*by, F.col("seed").alias("voxel"), F.col("seed")), [*by, "voxel"], "left")
+    owner = written(first.select(*by, "voxel", "near", "seed", F.when(F.col("seed").isNotNull(), 0.0).alias("d"), F.col("seed").isNotNull().alias("moved")))
     d = F.round(distance(F.col, lambda c: F.col(f"seed_{c}")), 9)
     for _ in range(rounds):
         moved = owner.where("moved")
         if moved.isEmpty():
             break
-        offers = touching.join(moved.select(*by, F.col("voxel").alias("a"), "seed"), [*by, "a"]).select(*by, F.col("b").alias("voxel"), "seed").distinct()
-        judged = offers.join(feature, [*by, "voxel"]).join(centre, [*by, "seed"])
+        offers = moved.select(*by, touched().alias("voxel"), "seed").repartition(parts, *by, "voxel").distinct()
+        judged = offers.join(F.broadcast(centre) if few else centre, [*by, "seed"]).join(feature, [*by, "voxel"])
         best = judged.groupBy(*by, "voxel").agg(F.min(F.struct(d.alias("d"), "seed")).alias("m"))
         new = owner.join(best, [*by, "voxel"], "left")
         takes = F.coalesce((F.col("m.d") < F.col("d")) | (F.col("seed").isNull() & F.col("m").isNotNull()), F.lit(False))
-        owner = written(new.select(*by, "voxel", F.when(takes, F.col("m.seed")).otherwise(F.col("seed")).alias("seed"), F.when(takes, F.col("m.d")).otherwise(F.col("d")).alias("d"), takes.alias("moved")))
-    return owner.select(*by, "voxel", "seed", "d")
+        owner = written(new.select(*by, "voxel", "near", F.when(takes, F.col("m.seed")).otherwise(F.col("seed")).alias("seed"), F.when(takes, F.col("m.d")).otherwise(F.col("d")).alias("d"), takes.alias("moved")))
+    feature.unpersist()
+    return owner.select(*by, "voxel", "near", "seed", "d")
 
 
 @dataclass
@@ -128,7 +158,6 @@ class Supervoxels:
 
     points: DataFrame
     voxels: DataFrame
-    touching: DataFrame
     owner: DataFrame
     by: list[str]
 
@@ -148,8 +177,8 @@ class Supervoxels:
     def edges(self) -> DataFrame:
         """Supervoxels that touch: (by, a, b, links) with a < b and the number of touching pairs of voxels."""
         side = self.owner.where("label > 0")
-        ends = self.touching.where("a < b").join(side.select(*self.by, F.col("voxel").alias("a"), F.col("label").alias("p")), [*self.by, "a"])
-        ends = ends.join(side.select(*self.by, F.col("voxel").alias("b"), F.col("label").alias("q")), [*self.by, "b"]).where("p <> q")
+        ends = side.select(*self.by, touched(range(len(STEPS) // 2, len(STEPS))).alias("voxel"), F.col("label").alias("p"))  # to greater keys
+        ends = ends.join(side.select(*self.by, "voxel", F.col("label").alias("q")), [*self.by, "voxel"]).where("p <> q")
         return ends.groupBy(*self.by, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("links"))
 
 
@@ -160,11 +189,11 @@ def supervoxels(points: DataFrame, size: float, seed_size: float, distance: Dist
     """
     by = list(by)
     at, voxels = voxelised(points, size, by)
-    touching = links(voxels, by)
+    near = touching(voxels, by)
     rounds = 1 + int(1.8 * seed_size / size) if rounds is None else rounds
-    owner = grown(voxels, touching, seeds(voxels, touching, size, seed_size, by=by), rounds, distance or weighted(seed_size), by)
+    owner = grown(voxels, near, seeds(voxels, near, size, seed_size, by=by), rounds, distance or weighted(seed_size), by)
     sizes = owner.where("seed IS NOT NULL").groupBy(*by, "seed").agg((-F.count(F.lit(1))).alias("less"))
     names = places(sizes, by, ["less", "seed"], "label")
-    owner = written(owner.join(names.select(*by, "seed", "label"), [*by, "seed"], "left").select(*by, "voxel", "seed", F.coalesce("label", F.lit(0)).alias("label")))
+    owner = written(owner.join(names.select(*by, "seed", "label"), [*by, "seed"], "left").select(*by, "voxel", "near", "seed", F.coalesce("label", F.lit(0)).alias("label")))
     everyone = at.unionByName(points.where("x IS NULL OR y IS NULL OR z IS NULL OR NOT (abs(x) + abs(y) + abs(z) < double('infinity'))").select(*by, "pt_id", F.lit(None).cast("long").alias("voxel")))
-    return Supervoxels(everyone, voxels, touching, owner, by)
+    return Supervoxels(everyone, voxels, owner, by)

@@ -135,3 +135,14 @@ def test_places(spark):
     for k, v, i in sorted(rows):
         groups[k].append(i)
     assert {(r.k, r.i): r.place for r in got} == {(k, i): n + 1 for k, m in groups.items() for n, i in enumerate(m)}
+
+
+def test_touching_voxels_are_bits_across_blocks(spark):
+    r = random.Random(9)
+    keys = [(0, k) for k in {tuple(r.randrange(29, 36) for _ in range(3)) for _ in range(90)}] + [(1, k) for k in [(0, 0, 0), (0, 1, 0), (63, 64, 31), (64, 63, 32), (64, 65, 31)]]
+    packed = lambda k: k[0] * (1 << 42) + k[1] * (1 << 21) + k[2]
+    voxels = spark.createDataFrame([(f, packed(k), *k) for f, k in keys], "frame_id int, voxel long, kx long, ky long, kz long")
+    near = X.touching(voxels)
+    assert near.count() == len(keys)
+    got = {tuple(row) for row in near.select("frame_id", "voxel", X.touched().alias("nb")).collect()}
+    assert got == {(f, packed(a), packed(b)) for f, a in keys for g, b in keys if f == g and a != b and max(abs(i - j) for i, j in zip(a, b, strict=True)) == 1}
