@@ -41,3 +41,14 @@ def test_yaws_are_tried_without_turned_copies(spark, monkeypatch):
         want = min((closest(turned(x[frame == f], 2 * math.pi * k / 100), y[frame == f]), k) for k in range(100))
         assert got[f].step == want[1] and abs(got[f].error - want[0]) < 1e-9
     assert got[0].step == 37
+
+
+def test_a_frame_is_laid_on_the_next_by_the_best_of_a_hundred_yaws(spark):
+    pts = Views(spark, SMALL).pts.toPandas()
+    at = {f: g[["x", "y", "z"]].to_numpy() for f, g in pts.groupby("frame_id")}
+    got = {q.frame_id: q for q in cloud.queries()["align_around_z"](spark, SMALL).collect()}
+    assert len(got) == 8
+    for f in range(8):
+        want = min((closest(turned(at[f], 2 * math.pi * k / 100), at[(f + 1) % 8]), k) for k in range(100))
+        assert got[f].step == want[1] and abs(got[f].error - want[0]) < 1e-6
+    assert {q.step % 25 for q in got.values()} != {0}  # some best yaw is none of twelve
