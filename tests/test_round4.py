@@ -3,6 +3,7 @@ import math
 import numpy as np
 
 import __spark_entry__ as cloud
+from cloudloom.operators import linalg as L
 from cloudloom.operators import spatial as S
 from cloudloom.sources.views import Views
 
@@ -52,3 +53,34 @@ def test_a_frame_is_laid_on_the_next_by_the_best_of_a_hundred_yaws(spark):
         want = min((closest(turned(at[f], 2 * math.pi * k / 100), at[(f + 1) % 8]), k) for k in range(100))
         assert got[f].step == want[1] and abs(got[f].error - want[0]) < 1e-6
     assert {q.step % 25 for q in got.values()} != {0}  # some best yaw is none of twelve
+
+
+def one_by_one(n, edges, share, k, rounds, tolerance=1e-8):
+    """Evidence by visits in order, as the method tells it; how many rounds were made before none could gain."""
+    y = np.random.default_rng(1).dirichlet(np.ones(k), n)
+    near = [[(j, c) for (a, b), c in zip(edges, share) for i, j in ((a, b), (b, a)) if i == p] for p in range(n)]
+    near = [(np.array([j for j, _ in e], int), np.array([c for _, c in e])) for e in near]
+    for t in range(rounds):
+        moved = False
+        for i, (at, c) in enumerate(near):
+            g = y[at].T @ (y[at] @ y[i] - c)
+            a, b = int(g.argmin()), int(np.where(y[i] > 1e-12, g, -np.inf).argmax())
+            d = y[at][:, a] - y[at][:, b]
+            if g[b] - g[a] > tolerance:
+                step = min((g[b] - g[a]) / max(float(d @ d), 1e-12), y[i, b])
+                y[i, a] += step
+                y[i, b] -= step
+                moved = True
+        if not moved:
+            break
+    return y.argmax(1) + 1
+
+
+def test_evidence_of_a_chain_goes_on_after_62_rounds():
+    i = np.arange(59)
+    edges = np.concatenate([np.stack([i, i + 1], 1), np.stack([i[:-1], i[:-1] + 2], 1)])
+    votes = np.random.default_rng(0).integers(0, 4, (3, 60))
+    share = (votes[:, edges[:, 0]] == votes[:, edges[:, 1]]).mean(0)
+    label = L.peac(60, edges, share, 6)
+    assert (label == one_by_one(60, edges, share, 6, 2000)).all()
+    assert (label != one_by_one(60, edges, share, 6, 62)).any()
