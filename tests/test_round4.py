@@ -3,6 +3,7 @@ import math
 import numpy as np
 
 import __spark_entry__ as cloud
+from cloudloom.operators import features as E
 from cloudloom.operators import linalg as L
 from cloudloom.operators import spatial as S
 from cloudloom.sources.views import Views
@@ -84,3 +85,13 @@ def test_evidence_of_a_chain_goes_on_after_62_rounds():
     label = L.peac(60, edges, share, 6)
     assert (label == one_by_one(60, edges, share, 6, 2000)).all()
     assert (label != one_by_one(60, edges, share, 6, 62)).any()
+
+
+def test_evidence_of_regions_goes_on_after_62_rounds():
+    pairs = np.array([(a * 12 + b, (a + c) * 12 + b + d) for a in range(4) for b in range(12) for c, d in ((0, 1), (1, 0), (1, 1)) if a + c < 4 and b + d < 12])
+    edges = E.within_two(48, pairs)
+    votes = np.random.default_rng(0).integers(0, 4, (8, 48))
+    share = (votes[:, edges[:, 0]] == votes[:, edges[:, 1]]).mean(0)
+    label = L.peac(48, edges, share, 6)
+    assert (label == one_by_one(48, edges, share, 6, 2000)).all()
+    assert (label != one_by_one(48, edges, share, 6, 62)).any()
