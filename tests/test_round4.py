@@ -5,6 +5,7 @@ import numpy as np
 import __spark_entry__ as cloud
 from cloudloom.operators import features as E
 from cloudloom.operators import linalg as L
+from cloudloom.operators import segment as Z
 from cloudloom.operators import spatial as S
 from cloudloom.sources.views import Views
 
@@ -95,3 +96,21 @@ def test_evidence_of_regions_goes_on_after_62_rounds():
     label = L.peac(48, edges, share, 6)
     assert (label == one_by_one(48, edges, share, 6, 2000)).all()
     assert (label != one_by_one(48, edges, share, 6, 62)).any()
+
+
+def test_planes_are_tried_until_sure_and_fitted_to_their_points(spark):
+    r = np.random.default_rng(3)
+    x = r.random((600, 3)) * 100
+    x[:100] = np.c_[x[:100, :2], 40 + r.uniform(-0.01, 0.01, 100)]  # one triple in 216 lies in this plane
+    got = Z.planes(rows(spark, x)).first()
+    near = x[np.abs(x @ [got.a, got.b, got.c] + got.d) < 0.05]
+    assert got.inliers == len(near) >= 100
+    n, d, _ = L.plane_of(near)
+    n, d = (n, d) if n[2] * got.c > 0 else (-n, -d)
+    assert np.allclose([got.a, got.b, got.c, got.d], [*n, d], atol=1e-9)
+    assert Z.planes(rows(spark, x[:2])).count() == 0
+
+
+def test_trials_end_as_the_method_says():
+    assert Z.tried([10, 90, 20, 20, 95], 100, 1000, 0.99) == (1, np.log(0.01) / np.log(1 - 0.9**3))  # 3.53 trials: the fifth is not made
+    assert Z.tried([10, 9], 100, 1000, 0.99)[1] == 1000
