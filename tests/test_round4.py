@@ -114,3 +114,16 @@ def test_planes_are_tried_until_sure_and_fitted_to_their_points(spark):
 def test_trials_end_as_the_method_says():
     assert Z.tried([10, 90, 20, 20, 95], 100, 1000, 0.99) == (1, np.log(0.01) / np.log(1 - 0.9**3))  # 3.53 trials: the fifth is not made
     assert Z.tried([10, 9], 100, 1000, 0.99)[1] == 1000
+
+
+def test_mean_paths_of_parts_need_no_paths(spark):
+    """Two chains of 60 and 40 nodes: what is out of reach outweighs all lengths; a chain of its own needs its paths."""
+    nodes = [(0, i + 1, float(i), 0.0, 0.0) for i in range(100)] + [(1, i + 1, float(i), 0.0, 0.0) for i in range(5)]
+    edges = [(0, i + 1, i + 2) for i in range(99) if i != 59] + [(1, i + 1, i + 2) for i in range(4)]
+    n, e = spark.createDataFrame(nodes, "frame_id int, sv long, cx double, cy double, cz double"), spark.createDataFrame(edges, "frame_id int, a long, b long")
+    found = E.average_geodesic(n.where("frame_id = 0"), e.where("frame_id = 0"))
+    assert "part#" not in found._jdf.queryExecution().executedPlan().toString()
+    far = 3.4028234663852886e38
+    assert {r.sv: r.agd for r in found.collect()} == {i + 1: far * (40 if i < 60 else 60) / 99 for i in range(100)}
+    got = {r.sv: r.agd for r in E.average_geodesic(n, e).where("frame_id = 1").collect()}
+    assert got == {1: 2.5, 2: 1.75, 3: 1.5, 4: 1.75, 5: 2.5}
