@@ -127,3 +127,20 @@ def test_mean_paths_of_parts_need_no_paths(spark):
     assert {r.sv: r.agd for r in found.collect()} == {i + 1: far * (40 if i < 60 else 60) / 99 for i in range(100)}
     got = {r.sv: r.agd for r in E.average_geodesic(n, e).where("frame_id = 1").collect()}
     assert got == {1: 2.5, 2: 1.75, 3: 1.5, 4: 1.75, 5: 2.5}
+
+
+def test_a_mean_field_step_forms_no_pairs(spark, monkeypatch):
+    def none(*args, **more):
+        raise AssertionError("pairs are formed")
+
+    monkeypatch.setattr(S, "radius_join", none)
+    monkeypatch.setattr(Z, "mean_field_step", none)
+    pts = Views(spark, SMALL).pts.toPandas()
+    got = cloud.queries()["dense_crf_step"](spark, SMALL).toPandas().set_index(["frame_id", "pt_id", "l"]).q
+    assert len(got) == 5 * len(pts)
+    g = pts[pts.frame_id == 3].sort_values("pt_id")
+    x, u = g[["x", "y", "z"]].to_numpy(), np.where(g.label.to_numpy()[:, None] == np.arange(5), 0.5, 1.5 + 0.1 * np.arange(5))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    k = np.where((d < 0.36) & ~np.eye(len(x), dtype=bool), np.exp(-0.5 * d / 0.04), 0.0)
+    want = Z.softmaxed(-u + 2 * k @ Z.softmaxed(-u))
+    assert np.allclose([[got[3, p, l] for l in range(5)] for p in g.pt_id], want, atol=1e-6)
