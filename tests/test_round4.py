@@ -5,6 +5,7 @@ import numpy as np
 import __spark_entry__ as cloud
 from cloudloom.operators import features as E
 from cloudloom.operators import linalg as L
+from cloudloom.operators import register as R
 from cloudloom.operators import segment as Z
 from cloudloom.operators import spatial as S
 from cloudloom.sources.views import Views
@@ -144,3 +145,26 @@ def test_a_mean_field_step_forms_no_pairs(spark, monkeypatch):
     k = np.where((d < 0.36) & ~np.eye(len(x), dtype=bool), np.exp(-0.5 * d / 0.04), 0.0)
     want = Z.softmaxed(-u + 2 * k @ Z.softmaxed(-u))
     assert np.allclose([[got[3, p, l] for l in range(5)] for p in g.pt_id], want, atol=1e-6)
+
+
+def test_smoothing_holds_cells_and_no_frame(spark):
+    r = np.random.default_rng(8)
+    x = r.random((900, 3)) * [2, 12, 2]
+    pts, var = rows(spark, x), R.VARIANTS["sjrcs"]
+    m = R.initial(pts, 4, 2)
+    factors = R.smoothing(pts, m, var, {})
+    got = {tuple(q[c] for c in R.CELLS): q.factor for q in factors.collect()}
+    cells, at = np.unique(np.floor(x / 0.75).astype(int), axis=0, return_inverse=True)
+    at = at.ravel()
+    a = R.responsibilities(x, m, 0, var, {})[0]
+    near = (np.abs(cells[:, None] - cells[None]).max(2) <= 1).astype(float)
+    base = L.smallest_eigen(np.diag(near.sum(1)) - near, 20)[1]
+    mean = np.stack([np.bincount(at, a[:, j]) for j in range(8)], 1) / np.bincount(at)[:, None]
+    c = base.T @ mean
+    new = np.maximum(base @ (c * (np.abs(c) >= np.sort(np.abs(c), axis=0)[-5])), 0)
+    want = (new / np.maximum(mean, 1e-300)).clip(0.1, 10)
+    assert len(got) == len(cells) and np.allclose([got[tuple(k)] for k in cells.tolist()], want, rtol=1e-6)
+    plan = R.labels(pts, m, var)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # batches, not whole frames
+    middle = R.medians(pts, m, var, {}, {}, factors)[0]
+    assert np.allclose(middle, np.median(a * want[at], axis=0), rtol=1e-6)
