@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -168,3 +169,20 @@ def test_smoothing_holds_cells_and_no_frame(spark):
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # batches, not whole frames
     middle = R.medians(pts, m, var, {}, {}, factors)[0]
     assert np.allclose(middle, np.median(a * want[at], axis=0), rtol=1e-6)
+
+
+def test_heat_signatures_hold_no_kernels_of_all_nodes():
+    """30,000 nodes in 250 chains: kernels of them all would have 92 MB, 200 vectors of them all 48 MB."""
+    i = np.arange(30_000 - 1)
+    i = i[i % 120 != 119]
+    pairs, w = np.stack([i, i + 1], 1), 0.5 + (i % 7) / 10.0
+    tracemalloc.start()
+    got = E.heat_signatures(30_000, pairs, w, 200, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6 and got.shape == (30_000, 6)
+    few = pairs[:476]  # four chains, which 40 vectors tell apart
+    values, vectors, _ = L.graph_eigen(480, few, w[:476], 40)
+    heat = vectors**2 @ np.exp(-np.maximum(values, 0)[:, None] * 2.0 ** np.arange(1, 25 + 1 / 32, 1 / 16))
+    want = np.abs(np.fft.fft(np.diff(np.log(np.maximum(heat, 1e-300)), axis=1), axis=1))[:, :6]
+    assert np.allclose(E.heat_signatures(480, few, w[:476], 40, 6), want, atol=1e-9)
