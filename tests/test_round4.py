@@ -186,3 +186,21 @@ def test_heat_signatures_hold_no_kernels_of_all_nodes():
     heat = vectors**2 @ np.exp(-np.maximum(values, 0)[:, None] * 2.0 ** np.arange(1, 25 + 1 / 32, 1 / 16))
     want = np.abs(np.fft.fft(np.diff(np.log(np.maximum(heat, 1e-300)), axis=1), axis=1))[:, :6]
     assert np.allclose(E.heat_signatures(480, few, w[:476], 40, 6), want, atol=1e-9)
+
+
+def test_regions_by_colour_search_neighbours_once(spark):
+    n = 300  # a chain of three colours, and a point of its own colour
+    colour = [0.0 if i < 100 else 20.0 if i < 200 else 200.0 for i in range(n)] + [90.0]
+    pts = spark.createDataFrame([(0, i, c, 0.0, 0.0) for i, c in enumerate(colour)], "frame_id int, pt_id long, r double, g double, b double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    near = spark.createDataFrame([(0, i, i + d) for i in range(n + 1) for d in (-1, 0, 1) if 0 <= i + d <= n], "frame_id int, pt_id long, nb long")
+    rows_ = near.count()
+    got = {q.pt_id: q.label for q in Z.region_grow_rgb(pts, near.mapInPandas(counted, near.schema), 10.0, 25.0, 3).collect()}
+    assert read.value == rows_
+    assert got == {i: 1 if i < 200 else 2 for i in range(n + 1)}
