@@ -119,7 +119,7 @@ def corner_sums(rows: DataFrame, reach: float) -> DataFrame:
     return rows.groupBy("frame_id", "obj").agg(*out)
 
 
-def scale_scores(rows: DataFrame, half: np.ndarray, reach: float = 1.0, open_below: bool = True, steps: Sequence[float] = STEPS, block: int = 512) -> DataFrame:
+def scale_scores(rows: DataFrame, half: np.ndarray, reach: float = 1.0, open_below: bool = True, steps: Sequence[float] = STEPS, block: int = 64) -> DataFrame:
     """``rows(obj, u0, u1, u2, a)`` → (obj, i, j, k, score): the sum of a exp(-d² / reach²) if the sides are scaled by those steps.
 
     A task sends the cells of the objects that it met, however many points it has. Rows are narrow and each costs all cells, so they
@@ -141,9 +141,15 @@ def scale_scores(rows: DataFrame, half: np.ndarray, reach: float = 1.0, open_bel
                     out, face = np.maximum(away, 0) ** 2, away**2
                     if open_below:
                         face[:, 2] = (b[:, 2] - half[int(o) - 1][2] * s) ** 2
-                    (fx, fy, fz), (ox, oy, oz) = ((q[:, 0, :, None, None], q[:, 1, None, :, None], q[:, 2, None, None, :]) for q in (face, out))
-                    d = np.minimum(np.minimum(fx + oy + oz, ox + fy + oz), ox + oy + fz)
-                    acc += np.tensordot(a[at : at + block], np.exp(-d / reach**2), 1)
+                    out, face = np.exp(-out / reach**2), np.exp(-face / reach**2)
+                    # the nearest face has the greatest of three products; where they underflow for the best sides, all cells are 0
+                    (ox, oy, oz), (fx, fy, fz) = (q.max(2).T for q in (out, face))
+                    some = (fx * (oy * oz) > 0) | (ox * np.maximum(fy * oz, oy * fz) > 0)
+                    (ox, oy, oz), (fx, fy, fz) = (q[some].transpose(1, 0, 2) for q in (out, face))
+                    oy, oz, fy, fz = oy[:, :, None], oz[:, None], fy[:, :, None], fz[:, None]
+                    cells = ox[:, :, None, None] * np.maximum(fy * oz, oy * fz)[:, None]
+                    np.maximum(cells, fx[:, :, None, None] * (oy * oz)[:, None], out=cells)
+                    acc += np.tensordot(a[at : at + block][some], cells, 1)
         i, j, k = (m.ravel() for m in np.indices((n, n, n)))
         for o, acc in total.items():
             yield pd.DataFrame({"obj": np.full(n**3, o, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "k": k.astype(np.int32), "score": acc.ravel()})

@@ -2,8 +2,10 @@ import math
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 import __spark_entry__ as cloud
+from cloudloom.operators import cubes as Q
 from cloudloom.operators import features as E
 from cloudloom.operators import linalg as L
 from cloudloom.operators import register as R
@@ -204,3 +206,35 @@ def test_regions_by_colour_search_neighbours_once(spark):
     got = {q.pt_id: q.label for q in Z.region_grow_rgb(pts, near.mapInPandas(counted, near.schema), 10.0, 25.0, 3).collect()}
     assert read.value == rows_
     assert got == {i: 1 if i < 200 else 2 for i in range(n + 1)}
+
+
+def test_scores_of_sides_take_few_exponentials(spark, monkeypatch):
+    """A row has 1331 cells; exponentials are taken for its 66 distances from faces."""
+    r = np.random.default_rng(9)
+    u, a, half = np.r_[r.normal(size=(300, 3)) * 2, [[900.0, 0, 0], [0, 0, -40.0]]], r.random(302), np.array([[1.0, 0.7, 1.3]])
+    taken = []
+
+    class Rows:  # stands for a table: the batches are read here
+        sparkSession = spark
+
+        def select(self, *names):
+            return self
+
+        def repartition(self, n):
+            return self
+
+        def mapInPandas(self, run, schema):
+            exp = np.exp
+            monkeypatch.setattr(np, "exp", lambda x, *args, **more: (taken.append(np.size(x)), exp(x, *args, **more))[1])
+            out = pd.concat(run([pd.DataFrame({"obj": 1, **{f"u{i}": u[:, i] for i in range(3)}, "a": a})]))
+            monkeypatch.undo()
+            return spark.createDataFrame(out, schema)
+
+    got = {(q.i, q.j, q.k): q.score for q in Q.scale_scores(Rows(), half).collect()}
+    assert len(got) == 1331 and sum(taken) <= 302 * 66
+    for (i, j, k), score in list(got.items())[::97]:
+        h = half[0] * [Q.STEPS[i], Q.STEPS[j], Q.STEPS[k]]
+        out, face = np.maximum(np.abs(u) - h, 0) ** 2, (np.abs(u) - h) ** 2
+        face[:, 2] = (u[:, 2] - h[2]) ** 2
+        d = np.min([face[:, c] + out[:, (c + 1) % 3] + out[:, (c + 2) % 3] for c in range(3)], axis=0)
+        assert abs(score - a @ np.exp(-d)) < 1e-9
